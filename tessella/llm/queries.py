@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, html_text, media, packing, quality, toxicity, url_filters
+from tessella.llm import chat_format, html_text, media, packing, quality, substring_dedup, toxicity, url_filters
 from tessella.llm.common import table
 
 #: The path rules of the URL filter.
@@ -44,6 +44,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    less = substring_dedup.changed(docs).select("doc_id", "n_removed", "kept_sha256").dropDuplicates(["doc_id"])
+    return substring_dedup.untouched(docs).join(less, "doc_id", "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")
+    )
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.media_columns(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -78,7 +86,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_quality, op2_toxicity, op3_chat_format, op5_media_columns, op6_url_filter, op7_packing, op8_html_text)
+    found = (op1_quality, op2_toxicity, op3_chat_format, op4_substring_dedup, op5_media_columns, op6_url_filter, op7_packing, op8_html_text)
     return {f.__name__: f for f in found}
 
 
