@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, html_text, jaccard_join, media, packing, quality, substring_dedup, toxicity, url_filters
+from tessella.llm import chat_format, decontamination, html_text, jaccard_join, media, packing, quality, substring_dedup, toxicity, url_filters
 from tessella.llm.common import table
 
 #: The path rules of the URL filter.
@@ -85,12 +85,16 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = (op1_quality, op2_toxicity, op3_chat_format, op4_substring_dedup, op5_media_columns, op6_url_filter, op7_packing, op8_html_text, op10_jaccard_join)
+    found = (op1_quality, op2_toxicity, op3_chat_format, op4_substring_dedup, op5_media_columns, op6_url_filter, op7_packing, op8_html_text, op9_decontamination, op10_jaccard_join)
     return {f.__name__: f for f in found}
 
 
