@@ -7,8 +7,7 @@ of all document positions; around each hit document and item are laid along each
 the item is leaked where some ``reach`` aligned tokens (all of a shorter item's) agree in
 at least ``share``.
 
-A table of fixed size, one byte for each value of the last 20 bits of a seed, first leaves
-out most positions that cannot hit.  Seeds of the benchmark are broadcast only if they are at most ``most_broadcast`` rows, else
+Seeds of the benchmark are broadcast only if they are at most ``most_broadcast`` rows, else
 they are joined by shuffle; hits are verified before anything is shuffled, so a passage in a
 third of all documents costs one row per task, document and item.
 
@@ -24,12 +23,12 @@ from pyspark.sql import functions as F
 
 #: Seed masks; 1 is a kept position, 0 an ignored one.
 MASKS = ("11011011", "1110010111", "110100110011")
-SLOTS = 1 << 20  # bytes of the table that tells most positions without a known seed
 
 
 def tokens(text: Column) -> Column:
-    """A text without tokens gives one empty string, which is no token of an item."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+    """A text that begins with other characters, or has no tokens, begins with an empty
+    string, which is no token of an item."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def _seed(words: Column, at: Column, mask: str) -> Column:
@@ -38,27 +37,17 @@ def _seed(words: Column, at: Column, mask: str) -> Column:
     return F.when(at + len(mask) <= F.size(words), F.xxhash64(F.lit(mask), *kept))
 
 
-def _slot(seed: Column) -> Column:
-    return seed.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-
-
-def seeds(rows: DataFrame, masks: tuple[str, ...], slots: bytes | None = None) -> DataFrame:
-    """``rows`` (with ``words``) exploded to one row per position and mask: at, seed.  Where
-    ``slots`` are given, positions none of whose seeds has its slot set are left out first."""
+def seeds(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """``rows`` (with ``words``) exploded to one row per position and mask: at, seed."""
     placed = rows.filter(F.size("words") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
-    hashes = [_seed(F.col("words"), F.col("at"), m) for m in masks]
-    if slots is not None:
-        taken = [F.substring(F.lit(slots), _slot(h) + 1, F.lit(1)) == F.lit(b"\x01") for h in hashes]
-        likely = taken[0]
-        for one in taken[1:]:
-            likely = likely | one
-        placed = placed.filter(likely)
-    return placed.withColumn("seed", F.explode(F.array(*hashes))).filter("seed is not null")
+    hashes = F.array(*(_seed(F.col("words"), F.col("at"), m) for m in masks))
+    return placed.withColumn("seed", F.explode(hashes)).filter("seed is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, reach: int = 13, share: float = 0.8, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, matched, item_tokens): leaked items; matched: most aligned tokens that agree."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_words")).filter(F.get("item_words", F.lit(0)) != "")
+    words = F.filter(tokens(F.col("text")), lambda w: w != "")
+    items = benchmark.select("item_id", words.alias("item_words")).filter(F.size("item_words") > 0)
     small = min(map(len, MASKS))
     # at most `small` - 1 distinct lengths of short items
     short = sorted(r[0] for r in items.filter(F.size("item_words") < small).select(F.size("item_words")).distinct().collect())
@@ -69,14 +58,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, reach: int = 13, share: float =
         whole = own.filter(F.size("words") == n).select("item_id", "words", F.lit(0).alias("at"), F.xxhash64(F.lit("1" * n), *(F.get("words", F.lit(k)) for k in range(n))).alias("seed"))
         known = known.unionByName(whole)
     known = known.select(F.col("item_id"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), "seed")
-    slots = bytearray(SLOTS)
-    for row in known.select(_slot(F.col("seed")).alias("slot")).distinct().collect():  # at most SLOTS rows
-        slots[row["slot"]] = 1
     if known.limit(most_broadcast + 1).count() <= most_broadcast:
         known = F.broadcast(known)
     masks = (*MASKS, *("1" * n for n in short))
     # a generator's output is a value: tokens are not computed again for each position
-    there = seeds(docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("words")), masks, bytes(slots))
+    there = seeds(docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("words")), masks)
     start = F.col("at") - F.col("item_at")
     size = F.size("item_words")
     same = F.transform(
