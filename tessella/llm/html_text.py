@@ -2,7 +2,7 @@
 
 Tokens of a page are its tags (with class, id and role, under their path of open tags) and
 its text nodes.  The occurrence vector of a token over the pages of a host is kept as three
-mergeable sums: pages, occurrences, and a 64-bit sum of mixed (page, count) pairs.  Tokens
+mergeable sums: pages, occurrences, and a sum of 64-bit hashes of (page, count) pairs.  Tokens
 of one host with equal sums form an equivalence class.  A class is valid when its tokens
 stand exactly once on at least half of the host's pages, at least two; valid classes nest
 by path into the host's template, and what lies between template tags is its slots.  Slots
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import materialize
 from tessella.llm.url_filters import host_of
 
 TOKEN = re.compile(
@@ -170,7 +171,7 @@ def tokens_of(page: str) -> dict[tuple[str, str], int]:
     return found
 
 
-OCCURRENCES = "host string, path string, token string, pages long, occurrences long, vector long, chars long"
+OCCURRENCES = "host string, path string, token string, pages long, occurrences long, low long, high long"
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
         sums: dict[tuple[str, str, str], list[int]] = {}
 
         def rows():
-            out = [(h, p, t, a, b, c if c < 1 << 63 else c - (1 << 64), d) for (h, p, t), (a, b, c, d) in sums.items()]
+            out = [(*key, *value) for key, value in sums.items()]
             sums.clear()
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in OCCURRENCES.split(", ")])
@@ -195,11 +196,11 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     s = sums.setdefault((host.as_py(), path, token), [0, 0, 0, 0])
                     s[0] += 1
                     s[1] += n
-                    s[2] = (s[2] + value) & MASK
+                    s[2] += value & 0xFFFFFFFF
+                    s[3] += value >> 32
                 s = sums.setdefault((host.as_py(), "", ""), [0, 0, 0, 0])
                 s[0] += 1
                 s[1] += 1
-                s[3] += len(text)
                 if len(sums) > 200_000:
                     yield rows()
         if sums:
@@ -211,14 +212,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, share: float = 0.5) -> DataFrame:
     """(host, path, class_size, content): the nested tags of each host's valid classes, and
     whether text slots in them may hold content.  Host ``*`` stands for all hosts."""
-    # sums of mixed hashes are exact decimals, then taken modulo 2**64
-    wrap = F.lit(str(1 << 64)).cast("decimal(38,0)")
-    parts = occurrences(pages)
-    vector = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), wrap)
-    sums = [F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), vector.alias("vector")]
-    by_host = parts.groupBy("host", "path", "token").agg(*sums)
+    sums = [F.sum(c).alias(c) for c in ("pages", "occurrences", "low", "high")]
+    by_host = materialize(occurrences(pages).groupBy("host", "path", "token").agg(*sums), "occurrences")
     tags = by_host.filter("token = ''")
-    everywhere = tags.groupBy("path", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.pmod(F.sum("vector"), wrap).alias("vector"))
+    everywhere = tags.groupBy("path", "token").agg(*sums)
     text = by_host.filter("token <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("texts"))
     text = text.unionByName(text.groupBy("path").agg(F.sum("texts").alias("texts")).withColumn("host", F.lit("*")))
     tags = tags.drop("token").unionByName(everywhere.withColumn("host", F.lit("*")).drop("token"))
@@ -226,8 +223,8 @@ def templates(pages: DataFrame, share: float = 0.5) -> DataFrame:
     once = tags.filter("path <> ''").join(sizes, "host").filter(
         (F.col("pages") >= 2) & (F.col("pages") >= share * F.col("host_pages")) & (F.col("occurrences") == F.col("pages"))
     )
-    classes = once.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("class_size"))
-    return once.join(classes, ["host", "vector"]).join(text, ["host", "path"], "left").select(
+    classes = once.groupBy("host", "low", "high").agg(F.count(F.lit(1)).alias("class_size"))
+    return once.join(classes, ["host", "low", "high"]).join(text, ["host", "path"], "left").select(
         "host", "path", "class_size", F.coalesce("texts", F.lit(0)).alias("texts")
     )
 
@@ -281,7 +278,7 @@ def main_text(pages: DataFrame, share: float = 0.5) -> DataFrame:
 
     Slots are one row a host; they are joined by host without a hint, so the planner
     broadcasts them where they are small and splits a hot host where they are not."""
-    slots = content_slots(pages, share)
+    slots = materialize(content_slots(pages, share), "slots")
     whole = slots.filter("host = '*'").first()
     common = whole["slot"] if whole else None
 
