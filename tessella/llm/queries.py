@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, decontamination, html_text, jaccard_join, media, packing, quality, substring_dedup, toxicity, url_filters
 from tessella.llm.common import table
+from tessella.llm.oracles import ORACLES
 
 #: The path rules of the URL filter.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -99,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
