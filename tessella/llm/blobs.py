@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.llm.common import partitions
 
@@ -55,11 +56,11 @@ def by_key(out: Out, bucket: int, keys: np.ndarray, records: np.ndarray, spread:
     cuts = np.flatnonzero(np.diff(keys)) + 1
     for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])):
         if hi > lo:
-            out.add(bucket if spread == 1 else int(keys[lo]) % spread, int(keys[lo]), records[lo:hi].tobytes())
+            out.add(bucket if spread <= 1 else int(keys[lo]) % spread, int(keys[lo]), records[lo:hi].tobytes())
 
 
 def n_buckets(df: DataFrame) -> int:
-    return 4 * partitions(df.sparkSession)
+    return partitions(df.sparkSession)
 
 
 def reduce_buckets(rows: DataFrame, reduce: Callable[[list[bytes], Out, int], None]) -> DataFrame:
@@ -80,4 +81,4 @@ def reduce_buckets(rows: DataFrame, reduce: Callable[[list[bytes], Out, int], No
             yield from out.take()
         yield from out.take(last=True)
 
-    return rows.repartition(partitions(rows.sparkSession), "bucket").mapInArrow(run, SCHEMA)
+    return rows.repartitionById(partitions(rows.sparkSession), F.col("bucket")).mapInArrow(run, SCHEMA)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -49,8 +51,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs nothing but its running tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of plans that nothing refers to any more; to be
+    called once what materialize was given is out of scope."""
+    for pause in (0.2, 0.5):  # the first round frees Python's handles, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import blobs
-from tessella.llm.common import materialize, rows_of_text, utf8
+from tessella.llm.common import materialize, release, rows_of_text, utf8
 from tessella.llm.components import components
 from tessella.llm.words import mix, spans, word_hashes
 
@@ -124,7 +124,7 @@ def _send_lists(out: blobs.Out, keys: np.ndarray, node: np.ndarray, n: int) -> N
     known = np.zeros(int(full.sum()), SHARE)
     known["node"], known["size"] = node[full], CAP
     known["key"] = (bucket[full].astype(np.uint64) << np.uint64(32)) | key32[full]
-    _send_shares(out, 0, known, n)
+    _send_shares(out, known, n)
     first = np.zeros(len(keys), bool)
     first[head] = True
     sent = ~full | first
@@ -133,9 +133,9 @@ def _send_lists(out: blobs.Out, keys: np.ndarray, node: np.ndarray, n: int) -> N
     blobs.split_by(out, bucket[sent].astype(np.int32), entries)
 
 
-def _send_shares(out: blobs.Out, bucket: int, shares: np.ndarray, n: int) -> None:
-    """Keyed by the bucket of the node, for the next exchange."""
-    blobs.by_key(out, bucket, (mix(shares["node"]) % np.uint64(n)).astype(np.int64), shares)
+def _send_shares(out: blobs.Out, shares: np.ndarray, n: int) -> None:
+    """Keyed by the bucket of the node, for the next exchange; spread alike over this one."""
+    blobs.by_key(out, 0, (mix(shares["node"]) % np.uint64(n)).astype(np.int64), shares, n)
 
 
 def shared_lists(docs: DataFrame, width: int, rate: float) -> DataFrame:
@@ -159,7 +159,7 @@ def shared_lists(docs: DataFrame, width: int, rate: float) -> DataFrame:
                 infos.append(info)
                 held.append((mix(found[take] + np.uint64(salt)), node[rows[take]] | np.uint64(family)))
                 size += int(take.sum())
-            _send_shares(out, 0, np.unique(np.concatenate(infos)), n_of)
+            _send_shares(out, np.unique(np.concatenate(infos)), n_of)
             if size > BLOCK:
                 _send_lists(out, *map(np.concatenate, zip(*held)), n_of)
                 held, size = [], 0
@@ -180,7 +180,7 @@ def shared_lists(docs: DataFrame, width: int, rate: float) -> DataFrame:
         shares = np.zeros(int(told.sum()), SHARE)
         shares["node"], shares["size"] = entries["node"][told], each[told]
         shares["key"] = (np.uint64(bucket) << np.uint64(32)) | entries["key"][told].astype(np.uint64)
-        _send_shares(out, bucket, shares, n_of)
+        _send_shares(out, shares, n_of)
 
     return blobs.reduce_buckets(docs.select("doc_id", "text").mapInArrow(index, blobs.SCHEMA), meet)
 
@@ -337,6 +337,7 @@ def link_components(docs: DataFrame, width: int = 5) -> DataFrame:
     thin = found.filter((F.col("n") >= LARGE) & (F.col("s") <= F.col("n") - F.floor((4 * F.col("n") + 4) / 5))).limit(1)
     rate = RATE if thin.isEmpty() else 1.0
     groups = components(candidate_edges(docs, width, rate))
+    release(docs.sparkSession)
     members = materialize(
         groups.select(F.col("vertex").alias("node"), F.col("root").alias("group_id")).join(sets.select("node", "first", "n"), "node"), "members"
     )
