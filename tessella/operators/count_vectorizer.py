@@ -54,6 +54,7 @@ def tokenize(
     found = find_all(F.col(f"`{text_col}`"), java)
     if ngram_range == (1, 1):
         rows = df.select(F.col(f"`{id_col}`").alias(id_col), F.explode(found).alias("token")).withColumn("token", F.lower("token"))
+        rows = rows.filter("token is not null")  # never so, but joins add it: said once, plans of equal parts are equal
         return rows.filter(~F.col("token").isin(stops)) if stops else rows
     words = F.transform(found, F.lower)
     if stops:
@@ -66,17 +67,17 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return tokenize(df, id_col, **options).groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("int").alias("count"))
 
 
-def vocabulary_of(tokens: DataFrame) -> DataFrame:
-    """(token, idx): ids 0.. in byte order of the distinct tokens.
+def vocabulary_of(tokens: DataFrame, distinct: bool = False) -> DataFrame:
+    """(token, idx): ids 0.. in byte order of the tokens, made distinct unless they are.
 
     A token's id is the number of tokens in earlier prefix blocks plus its rank in its own:
     only the prefix counts, not the vocabulary, pass through one task."""
-    one = tokens.select("token").distinct().withColumn("_p", F.substring("token", 1, PREFIX))
+    one = (tokens.select("token") if distinct else tokens.select("token").distinct()).withColumn("_p", F.substring("token", 1, PREFIX))
     blocks = one.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     firsts = blocks.select("_p", F.coalesce(before, F.lit(0)).alias("_first"))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy("token")) - 1
-    return one.withColumn("_r", rank).join(firsts, "_p").select("token", (F.col("_first") + F.col("_r")).cast("int").alias("idx"))
+    return one.withColumn("_r", rank).join(firsts, "_p", "left").select("token", (F.col("_first") + F.col("_r")).cast("int").alias("idx"))
 
 
 def _limit(counts: DataFrame, n_docs, min_df, max_df, max_features) -> DataFrame:
@@ -110,8 +111,11 @@ def cv_transform(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", b
 def cv_fit_transform(df: DataFrame, id_col: str = "doc_id", binary: bool = False, min_df=1, max_df=1.0, max_features=None, **options) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, triplets) from one count of tokens per document."""
     counts = token_counts(df, id_col, **options)
-    tokens = counts if (min_df, max_df, max_features) == (1, 1.0, None) else _limit(counts, df.count(), min_df, max_df, max_features)
-    vocabulary = vocabulary_of(tokens)
+    if (min_df, max_df, max_features) == (1, 1.0, None):  # uses all of counts, so its exchange is reused
+        tokens = counts.groupBy("token").agg(F.sum("count").alias("total")).filter("total > 0")
+    else:
+        tokens = _limit(counts, df.count(), min_df, max_df, max_features)
+    vocabulary = vocabulary_of(tokens, distinct=True)
     return vocabulary, _with_ids(counts, vocabulary, id_col, binary)
 
 
