@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, jaccard_join, packing, substring_dedup, toxicity
-from tessella.llm.common import materialize, table
+from tessella.llm.common import materialize, release, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ The corpus is its own reference, in blocks: each map task's documents.  A docume
 copy from any document with a smaller id.
 
 1. Index.  Each window of ``window`` words has an anchor, the least hash of its runs of
-   four words, so equal windows share an anchor in whatever documents they stand.  Anchors
+   RUN words, so equal windows share an anchor in whatever documents they stand.  Anchors
    of all blocks meet by hash; those of a single document cannot start a copy and go.
 2. Match.  Documents with shared anchors fingerprint the windows around them (96 bits).
    Equal fingerprints meet by hash, and each window learns the smallest document that
@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import blobs
-from tessella.llm.common import materialize, rows_of_text
+from tessella.llm.common import materialize, release, rows_of_text
 from tessella.llm.words import mix, spans, word_hashes
 
-RUN = 4  # words of an anchor
+RUN = 7  # words of an anchor
 ANCHOR = np.dtype([("key", "<u4"), ("doc", "<i8"), ("many", "?")])
 WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("at", "<i4")])
-SOURCE = np.dtype([("at", "<i4"), ("doc", "<i8"), ("there", "<i4")])
+SOURCE = np.dtype([("at", "<i4"), ("doc", "<i8"), ("there", "<i4"), ("windows", "<i4")])  # a run along a diagonal
+KEY = np.dtype([("to", "<i8"), ("key", "<u4")])  # a shared anchor of document `to`
+FOUND = np.dtype([("to", "<i8"), *((name, SOURCE[name]) for name in SOURCE.names)])
 BLOCK = 1_000_000  # entries that a map task holds before it combines and sends them
 
 
@@ -75,6 +77,32 @@ def _firsts(*columns: np.ndarray) -> np.ndarray:
     return change
 
 
+def _send(out: blobs.Out, records: np.ndarray, n: int) -> None:
+    """Records for documents, by the bucket of the document, for the next exchange."""
+    blobs.by_key(out, 0, (mix(records["to"].astype(np.uint64)) % np.uint64(n)).astype(np.int64), records, n)
+
+
+def _send_keys(out: blobs.Out, docs: np.ndarray, keys: np.ndarray, n: int) -> None:
+    records = np.zeros(len(docs), KEY)
+    records["to"], records["key"] = docs, keys
+    _send(out, records, n)
+
+
+def _by_document(rows: DataFrame, kind: np.dtype, name: str) -> DataFrame:
+    """(doc_id, name): all records of a document in one row, without their ``to``."""
+    payload = np.dtype([(field, kind[field]) for field in kind.names if field != "to"])
+
+    def gather(parts, out, bucket):
+        records = np.frombuffer(b"".join(parts), kind)
+        bare = np.zeros(len(records), payload)
+        for field in payload.names:
+            bare[field] = records[field]
+        blobs.by_key(out, bucket, records["to"], bare)
+
+    again = rows.select(F.col("key").cast("int").alias("bucket"), F.lit(None).cast("long").alias("key"), "data")
+    return blobs.reduce_buckets(again, gather).select(F.col("key").alias("doc_id"), F.array("data").alias(name))
+
+
 def _send_anchors(out: blobs.Out, anchors: np.ndarray, docs: np.ndarray, n: int) -> None:
     order = np.lexsort((docs, anchors))
     anchors, docs = anchors[order], docs[order]
@@ -83,7 +111,7 @@ def _send_anchors(out: blobs.Out, anchors: np.ndarray, docs: np.ndarray, n: int)
     head = np.flatnonzero(_firsts(anchors))
     size = np.diff(np.append(head, len(anchors)))
     many = np.repeat(size > 1, size)
-    blobs.by_key(out, 0, docs[many], key32(anchors[many]), n)
+    _send_keys(out, docs[many], key32(anchors[many]), n)
     entries = np.zeros(len(head), ANCHOR)
     entries["key"], entries["doc"], entries["many"] = key32(anchors[head]), docs[head], size > 1
     blobs.split_by(out, (anchors[head] % np.uint64(n)).astype(np.int32), entries)
@@ -115,30 +143,39 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
         head = np.flatnonzero(_firsts(entries["key"]))
         size = np.diff(np.append(head, len(entries)))
         found = entries[np.repeat(size > 1, size) & ~entries["many"]]
-        blobs.by_key(out, bucket, found["doc"], found["key"])
+        _send_keys(out, found["doc"], found["key"], n)
 
     sent = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(index, blobs.SCHEMA)
-    shared = blobs.reduce_buckets(sent, meet)
-    return shared.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("data").alias("keys"))
+    return _by_document(blobs.reduce_buckets(sent, meet), KEY, "keys")
 
 
-def _send_windows(out: blobs.Out, entries: np.ndarray, n: int) -> None:
-    entries = entries[np.lexsort((entries["at"], entries["doc"], entries["g"], entries["h"]))]
-    entries = entries[_firsts(entries["h"], entries["g"], entries["doc"])]
+def _send_windows(out: blobs.Out, entries: np.ndarray, anchors: np.ndarray, n: int) -> None:
+    """Windows go by anchor, so neighbours in a text mostly go together."""
+    order = np.lexsort((entries["at"], entries["doc"], entries["g"], entries["h"]))
+    entries, anchors = entries[order], anchors[order]
+    one = _firsts(entries["h"], entries["g"], entries["doc"])
+    entries, anchors = entries[one], anchors[one]
     heads = _firsts(entries["h"], entries["g"])
-    _send_sources(out, 0, entries, heads, n)
-    entries = entries[heads]
-    blobs.split_by(out, (mix(entries["h"]) % np.uint64(n)).astype(np.int32), entries)
+    _send_sources(out, entries, heads, n)
+    entries, anchors = entries[heads], anchors[heads]
+    order = np.lexsort((entries["at"], entries["doc"]))  # in order of text blobs compress well
+    blobs.split_by(out, (anchors[order] % np.uint64(n)).astype(np.int32), entries[order])
 
 
-def _send_sources(out: blobs.Out, bucket: int, entries: np.ndarray, heads: np.ndarray, spread: int = 1) -> None:
-    """Keyed SOURCE records for entries whose group begins in a smaller document."""
+def _send_sources(out: blobs.Out, entries: np.ndarray, heads: np.ndarray, n: int) -> None:
+    """FOUND records for entries whose group begins in a smaller document."""
     head = np.flatnonzero(heads)
     first = np.repeat(head, np.diff(np.append(head, len(entries))))
     later = np.flatnonzero(entries["doc"] > entries["doc"][first])
-    found = np.zeros(len(later), SOURCE)
-    found["at"], found["doc"], found["there"] = entries["at"][later], entries["doc"][first[later]], entries["at"][first[later]]
-    blobs.by_key(out, bucket, entries["doc"][later], found, spread)
+    later = later[np.lexsort((entries["at"][later], entries["doc"][later]))]
+    mine, theirs = entries[later], entries[first[later]]
+    goes_on = (np.diff(mine["doc"]) == 0) & (np.diff(mine["at"]) == 1) & (np.diff(theirs["doc"]) == 0) & (np.diff(theirs["at"]) == 1)
+    begin = np.flatnonzero(np.concatenate([[True], ~goes_on])) if len(later) else later
+    found = np.zeros(len(begin), FOUND)
+    found["to"] = mine["doc"][begin]
+    found["at"], found["doc"], found["there"] = mine["at"][begin], theirs["doc"][begin], theirs["at"][begin]
+    found["windows"] = np.diff(np.append(begin, len(later)))
+    _send(out, found, n)
 
 
 def _prints(hashes: np.ndarray, pointer: np.ndarray, window: int):
@@ -170,55 +207,56 @@ def window_sources(docs: DataFrame, window: int) -> DataFrame:
                     entries = np.zeros(int(fits.sum()), WINDOW)
                     entries["h"], entries["g"], entries["doc"] = h[fits], g[fits], keys[rows[fits]]
                     entries["at"] = at[fits] - pointer[rows[fits]]
-                    held.append(entries)
+                    held.append((entries, anchors[fits]))
                     size += len(entries)
                 row += len(keys)
                 if size > BLOCK:
-                    _send_windows(out, np.concatenate(held), n)
+                    _send_windows(out, *map(np.concatenate, zip(*held)), n)
                     held, size = [], 0
                 yield from out.take()
         if held:
-            _send_windows(out, np.concatenate(held), n)
+            _send_windows(out, *map(np.concatenate, zip(*held)), n)
         yield from out.take(last=True)
 
     def meet(parts, out, bucket):
         entries = np.frombuffer(b"".join(parts), WINDOW)
         entries = entries[np.lexsort((entries["at"], entries["doc"], entries["g"], entries["h"]))]
-        _send_sources(out, bucket, entries, _firsts(entries["h"], entries["g"]))
+        _send_sources(out, entries, _firsts(entries["h"], entries["g"]), n)
 
     found = blobs.reduce_buckets(docs.select("doc_id", "text", "keys").mapInArrow(match, blobs.SCHEMA), meet)
-    return found.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("data").alias("sources"))
+    return _by_document(found, FOUND, "sources")
 
 
-def factors(sources: np.ndarray, window: int) -> np.ndarray:
-    """Greedy factors (first word, words, source document, first word there) from SOURCE
-    records in order of place, one per window."""
-    if not len(sources):
+def factors(at: np.ndarray, doc: np.ndarray, there: np.ndarray, window: int) -> np.ndarray:
+    """Greedy factors (first word, words, source document, first word there) from windows in
+    order of place, with their source documents and places there."""
+    if not len(at):
         return np.zeros((0, 4), np.int64)
-    at, there = sources["at"].astype(np.int64), sources["there"].astype(np.int64)
-    goes_on = (np.diff(at) == 1) & (np.diff(there) == 1) & (np.diff(sources["doc"]) == 0)
+    goes_on = (np.diff(at) == 1) & (np.diff(there) == 1) & (np.diff(doc) == 0)
     first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
     last = np.append(first[1:], len(at)) - 1
-    return np.stack([at[first], at[last] - at[first] + window, sources["doc"][first], there[first]], axis=1)
+    return np.stack([at[first], at[last] - at[first] + window, doc[first], there[first]], axis=1)
 
 
 def parse(data: np.ndarray, parts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(factors, whether each word goes) of a text; ``parts`` hold its SOURCE records, one for
-    every distinct window that has a source."""
+    """(factors, whether each word goes) of a text; ``parts`` hold its SOURCE records, which
+    cover every distinct window that has a source, where it first stands."""
     hashes, pointer = word_hashes(data, np.array([0, len(data)]))
     known = np.frombuffer(b"".join(parts), SOURCE)
-    known = known[np.argsort(known["at"], kind="stable")]
+    count = known["windows"].astype(np.int64)
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at, there = np.repeat(known["at"], count) + step, np.repeat(known["there"], count) + step
+    doc = np.repeat(known["doc"], count)
     h, g = _prints(hashes, pointer, window)
     prints = np.empty(len(h), [("h", "<u8"), ("g", "<u4")])
     prints["h"], prints["g"] = h, g
     _, inverse = np.unique(prints, return_inverse=True)
     source_of = np.full(int(inverse.max()) + 1 if len(inverse) else 0, -1)
-    source_of[inverse[known["at"]]] = np.arange(len(known))
+    source_of[inverse[at]] = np.arange(len(at))
     chosen = source_of[inverse]
-    at = np.flatnonzero(chosen >= 0)
-    sources = known[chosen[at]].copy()
-    sources["at"] = at
-    found = factors(sources, window)
+    here = np.flatnonzero(chosen >= 0)
+    chosen = chosen[here]
+    found = factors(here, doc[chosen], there[chosen], window)
     edge = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(edge, found[:, 0], 1)
     np.add.at(edge, found[:, 0] + found[:, 1], -1)
@@ -233,6 +271,7 @@ def changed(docs: DataFrame, window: int = 13) -> DataFrame:
     by one space, their SHA-256, and the factors."""
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     likely = materialize(rows.join(shared_anchors(docs, window).hint("shuffle_hash"), "doc_id"), "shared-anchors")
+    release(docs.sparkSession)
     sources = window_sources(likely, window)
 
     def run(batches):
@@ -264,9 +303,10 @@ def untouched(docs: DataFrame) -> DataFrame:
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` with duplicate words cut out of ``text``, and n_removed; texts that lose nothing
     stay as they are.  An n_chars column follows the new text."""
-    less = changed(docs, window).select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text"), F.col("n_removed").alias("_gone"))
-    less = less.dropDuplicates(["_id", "_text"])
-    found = docs.join(less.hint("shuffle_hash"), docs["doc_id"] == less["_id"], "left")
-    text = F.when(F.col("_gone") > 0, F.col("_text")).otherwise(F.col("text"))
-    out = found.withColumns({"text": text, "n_removed": F.coalesce("_gone", F.lit(0)).cast("long")}).drop("_id", "_text", "_gone")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    less = changed(docs, window).select(F.col("doc_id").alias("id"), F.col("kept_text"), F.col("n_removed")).dropDuplicates(["id"])
+    rows = docs.select(F.col("doc_id").alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # names cannot clash
+    found = rows.join(less.hint("shuffle_hash"), rows["own"] == less["id"], "left")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    kept = [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "n_removed"]
+    return found.select(*kept, F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
