@@ -101,9 +101,11 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], th
     """``pages`` with host, path, rule and verdict (``allow`` or ``block``).
 
     ``outcomes`` has rows (host, bad).  Existing columns of these names are replaced."""
-    urls = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    known = reputation(outcomes).select(F.col("host").alias("_host"), "bad_lower")
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    urls = pages.select(F.struct(*own).alias("row"), host.alias("host"), path.alias("path"))  # names cannot clash
+    known = reputation(outcomes).select(F.col("host").alias("known_host"), "bad_lower")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = urls.join(known, urls["host"] == known["_host"], "left")
+    judged = urls.join(known, urls["host"] == known["known_host"], "left")
     mine = F.when(F.col("bad_lower") > threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, mine)}).drop("_host", "bad_lower")
+    return judged.select("row.*", "host", "path", rule.alias("rule"), F.coalesce(verdict, mine).alias("verdict"))
