@@ -5,9 +5,9 @@ A text's features are its distinct lower-cased words and the beginnings of its w
 (clean) to ``grades``.  One weight vector is shared by all thresholds t1 < t2 < ...:
 P(grade >= k) = sigmoid(w . x - t_k).  Labels that are only 0 and 1 are spread over the
 grades by how many features that mark label 1 a labelled text has, so that grade
-1 is a toxic text with few such words.  The fitted weights are few (features screened
-by chi-square and kept by the lasso penalty) and travel to the tasks with
-the function.  Expected severity is the sum of P(grade >= k) over k.
+1 is a toxic text with few such words.  Features are screened by their smoothed log-odds,
+which does not grow with the sample, and selected by the lasso penalty; the fitted weights
+are few and travel to the tasks with the function.  Expected severity is the sum of P(grade >= k) over k.
 
 Edge cases: null text is empty and scores by the thresholds alone; null labels and labels
 of unknown documents are left out; with no label 1 or no label 0 nothing is rejected;
@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from tessella.llm.quality import labelled_sample
 
 WORD = re.compile(r"\w+")
+#: Fixed value: the least smoothed log-odds of a feature that marks label 1.
+MARKING = 2.0
 BEGINNINGS = (4, 5, 6)
 
 
@@ -124,27 +126,33 @@ def fit_ordinal(columns: np.ndarray, pointer: np.ndarray, y: np.ndarray, width:
         mean += 0.1 * (both - mean)
         square += 0.001 * (both * both - square)
         rate = 0.05 * (1 - 0.9 * step / steps)
-        move = rate * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.999**step)) + 1e-7)
+        scale = rate / (np.sqrt(square / (1 - 0.999**step)) + 1e-7)
+        move = scale * mean / (1 - 0.9**step)
         w = w - move[:width]
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
+        # the penalty is scaled as the step is, so it weighs against the mean gradient
+        w = np.sign(w) * np.maximum(np.abs(w) - scale[:width] * penalty, 0)
         t = np.maximum.accumulate(t - move[width:])
     return w, t
 
 
-def screen(seen: dict[str, tuple[int, int]], n: int, n_toxic: int, least: int = 3, most: int = 1024, sure: float = 50.0) -> list[str]:
-    """The features whose chi-square with the label is largest, and at least ``sure``; seen:
-    (texts with the feature, toxic ones among them)."""
+def log_odds(n: int, n_toxic: int, all_, bad, log=np.log):
+    """Smoothed log-odds of label 1 in texts with a feature, over those of the sample."""
+    base = n_toxic / n
+    return log((bad + base) / (all_ - bad + (1 - base))) - math.log(base / (1 - base))
+
+
+def screen(seen: dict[str, tuple[int, int]], n: int, n_toxic: int, least: int = 2, most: int = 1024) -> list[str]:
+    """The features that mark label 1; of more than ``most`` those whose chi-square with the
+    label is largest; seen: (texts with the feature, toxic ones among them)."""
     scores = []
     for f, (all_, bad) in seen.items():
-        if least <= all_ < n:
+        if least <= all_ < n and 0 < n_toxic < n and log_odds(n, n_toxic, all_, bad) > MARKING:
             gap = bad * n - all_ * n_toxic
-            square = gap * gap / (all_ * (n - all_)) / max(n_toxic * (n - n_toxic) / n, 1e-9)
-            if square >= sure:
-                scores.append((-square, f))
+            scores.append((-gap * gap / (all_ * (n - all_)), f))
     return [f for _, f in sorted(scores)[:most]]
 
 
-def train(sets: list[set[str]], toxic: np.ndarray, chosen: list[str], grades: int = 3, penalty: float = 0.02) -> Ordinal:
+def train(sets: list[set[str]], toxic: np.ndarray, chosen: list[str], grades: int = 3, penalty: float = 0.0002) -> Ordinal:
     """Fit on feature sets of labelled texts, restricted to ``chosen``."""
     if not len(toxic) or toxic.min() == toxic.max():
         return Ordinal({}, [40.0 + k for k in range(grades)])
@@ -155,8 +163,7 @@ def train(sets: list[set[str]], toxic: np.ndarray, chosen: list[str], grades: in
     rows = np.repeat(np.arange(len(ids)), np.diff(pointer))
     seen = np.bincount(columns, minlength=len(chosen))
     bad = np.bincount(columns, toxic[rows], minlength=len(chosen))
-    base = toxic.mean()
-    marking = np.log((bad + base) / (seen - bad + 1 - base)) - np.log(base / (1 - base)) > 2
+    marking = log_odds(len(toxic), int(toxic.sum()), seen, bad) > MARKING
     hits = np.bincount(rows, marking[columns], minlength=len(ids))
     w, t = fit_ordinal(columns, pointer, grade(hits, toxic, grades), len(chosen), grades, penalty)
     model = Ordinal({f: float(w[k]) for f, k in vocabulary.items() if w[k]}, [float(x) for x in t])
@@ -194,8 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
     if whole is None:
         return train([], np.zeros(0), [])
     n, bad = whole["n"], whole["bad"]
+    if not 0 < bad < n:
+        return train([], np.zeros(0), [])
     gap = F.col("bad") * float(n) - F.col("n") * float(bad)
-    top = counts.filter((F.col("f") != "") & (F.col("n") >= 3) & (F.col("n") < n)).orderBy((gap * gap / (F.col("n") * (n - F.col("n")))).desc(), "f")
+    marking = log_odds(n, bad, F.col("n"), F.col("bad"), F.log) > MARKING
+    top = counts.filter((F.col("f") != "") & (F.col("n") >= 2) & (F.col("n") < n) & marking).orderBy((gap * gap / (F.col("n") * (n - F.col("n")))).desc(), "f")
     chosen = screen({r["f"]: (r["n"], r["bad"]) for r in top.limit(features).collect()}, n, bad, most=features)
     known = frozenset(chosen)
 

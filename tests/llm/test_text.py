@@ -1,8 +1,10 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, decontamination, html_text, quality, toxicity, url_filters
@@ -151,6 +153,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxicity_in_every_language(spark, tables, sf):
+    folder = f"{Path(tables).parent}/{sf}"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").select("lang", "toxic", "rejected").collect()
+    for lang in {r["lang"] for r in rows}:
+        for toxic in {r["toxic"] for r in rows if r["lang"] == lang}:
+            judged = [r["rejected"] for r in rows if (r["lang"], r["toxic"]) == (lang, toxic)]
+            assert sum(x == bool(toxic) for x in judged) >= 0.9 * len(judged), (lang, toxic)
+
+
 def test_crc_is_the_registered_split(spark):
     got = spark.range(50).select("id", (F.crc32(F.col("id").cast("string")) % 5).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got) and hashlib is not None
