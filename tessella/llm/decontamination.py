@@ -2,7 +2,9 @@
 
 Texts are lower-cased; everything but letters and digits separates tokens.  A mask is a
 run of positions of which some are ignored, so a hash over its kept positions survives
-substitutions at the others.  Seed hashes of all benchmark positions are joined with those
+substitutions at the others.  Masks are chosen by window size such that every allowed
+pattern of disagreeing positions leaves some placed mask whole, so no qualifying window is
+without a seed.  Seed hashes of all benchmark positions are joined with those
 of all document positions; around each hit document and item are laid along each other and
 the item is leaked where some ``reach`` aligned tokens (all of a shorter item's) agree in
 at least ``share``.
@@ -11,17 +13,21 @@ Seeds of the benchmark are broadcast only if they are at most ``most_broadcast``
 they are joined by shuffle; hits are verified before anything is shuffled, so a passage in a
 third of all documents costs one row per task, document and item.
 
-Edge cases: null or empty texts have no tokens and never match; items shorter than the
-shortest mask are matched by their whole token run; repeated rows of a document count once;
+Edge cases: null or empty texts have no tokens and never match; items too short for
+a substitution are matched by their whole token run; repeated rows of a document count once;
 repeated items count each; a null doc_id is reported as null; empty tables give no row.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seed masks; 1 is a kept position, 0 an ignored one.
+#: Seed masks taken first; 1 is a kept position, 0 an ignored one.
 MASKS = ("11011011", "1110010111", "110100110011")
 
 
@@ -31,6 +37,36 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
+def _placed(mask: str, window: int) -> list[int]:
+    """Kept positions, as bits, of ``mask`` at each place within a window."""
+    kept = sum(1 << k for k, bit in enumerate(mask) if bit == "1")
+    return [kept << k for k in range(window - len(mask) + 1)]
+
+
+@lru_cache(maxsize=None)
+def masks_of(window: int, lost: int) -> tuple[str, ...]:
+    """Masks of which one is whole at some place, whichever ``lost`` positions of a window
+    disagree: those of MASKS that help, then the ones that reach most patterns left over."""
+    if lost == 0:
+        return ("1" * min(window, max(map(len, MASKS))),)
+    weight = max(1, min(6, window - max(lost, window // 3)))
+    if math.comb(window, lost) * math.comb(window, weight) > 500_000:  # too many to enumerate
+        return ("1" * -(-(window - lost) // (lost + 1)),)  # some run between lost positions is as long
+    left = {sum(1 << k for k in at) for at in combinations(range(window), lost)}
+    reached = lambda m: {x for x in left if any(not x & place for place in _placed(m, window))}
+    chosen = []
+    for mask in MASKS:
+        if found := reached(mask):
+            chosen.append(mask)
+            left -= found
+    shapes = {"".join("01"[k in at] for k in range(at[0], at[-1] + 1)) for at in combinations(range(window), weight)}
+    while left:
+        best = max(sorted(shapes), key=lambda m: len(reached(m)))
+        chosen.append(best)
+        left -= reached(best)
+    return tuple(chosen)
+
+
 def _seed(words: Column, at: Column, mask: str) -> Column:
     """Hash of the kept positions of ``mask`` laid at ``at``; null past the end."""
     kept = [F.get(words, at + k) for k, bit in enumerate(mask) if bit == "1"]
@@ -48,21 +84,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, reach: int = 13, share: float =
     """(doc_id, item_id, matched, item_tokens): leaked items; matched: most aligned tokens that agree."""
     words = F.filter(tokens(F.col("text")), lambda w: w != "")
     items = benchmark.select("item_id", words.alias("item_words")).filter(F.size("item_words") > 0)
-    small = min(map(len, MASKS))
-    # at most `small` - 1 distinct lengths of short items
-    short = sorted(r[0] for r in items.filter(F.size("item_words") < small).select(F.size("item_words")).distinct().collect())
-    own = items.withColumnRenamed("item_words", "words")
-    long_seeds = seeds(own.filter(F.size("words") >= small), MASKS)
-    known = long_seeds
-    for n in short:
-        whole = own.filter(F.size("words") == n).select("item_id", "words", F.lit(0).alias("at"), F.xxhash64(F.lit("1" * n), *(F.get("words", F.lit(k)) for k in range(n))).alias("seed"))
-        known = known.unionByName(whole)
+    # at most ``reach`` distinct window sizes
+    window = F.least(F.lit(reach), F.size("item_words"))
+    sizes = items.select(window.alias("window"), F.ceil(window * share).cast("int").alias("needed")).distinct().collect()
+    chosen = {r["window"]: masks_of(r["window"], r["window"] - max(r["needed"], 1)) for r in sizes if r["needed"] <= r["window"]}
+    masks = tuple(sorted({m for some in chosen.values() for m in some}))
+    known = seeds(items.limit(0).withColumnRenamed("item_words", "words"), ("1",))
+    for n, some in chosen.items():
+        known = known.unionByName(seeds(items.filter(window == n).withColumnRenamed("item_words", "words"), some))
     known = known.select(F.col("item_id"), F.col("words").alias("item_words"), F.col("at").alias("item_at"), "seed")
     if known.limit(most_broadcast + 1).count() <= most_broadcast:
         known = F.broadcast(known)
-    masks = (*MASKS, *("1" * n for n in short))
     # a generator's output is a value: tokens are not computed again for each position
-    there = seeds(docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("words")), masks)
+    there = seeds(docs.select("doc_id", F.explode(F.array(tokens(F.col("text")))).alias("words")), masks or ("1",))
     start = F.col("at") - F.col("item_at")
     size = F.size("item_words")
     same = F.transform(
@@ -72,7 +106,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, reach: int = 13, share: float =
     agree = F.transform(same, lambda x: F.coalesce(x, F.lit(False)).cast("int"))
     # likewise the agreement of a hit is a value before its windows are added up
     hits = there.join(known, "seed").select("doc_id", "item_id", size.alias("size"), F.explode(F.array(agree)).alias("agree"))
-    window = F.least(F.lit(reach), F.col("size"))
+    window = F.least(F.lit(reach), F.col("size"))  # of a hit
     matched = F.aggregate("agree", F.lit(0), lambda a, b: a + b)
     some = hits.withColumn("matched", matched).filter(F.col("matched") >= F.ceil(window * share))
     best = F.array_max(

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 from pathlib import Path
@@ -73,6 +74,28 @@ def test_decontamination(spark):
     assert decontamination.leaks(df.limit(0), items).count() == 0 and decontamination.decontaminate(df, items.limit(0)).count() == len(rows)
 
 
+def test_decontamination_masks():
+    for n in range(5, 14):
+        lost = n - int(np.ceil(n * 0.8))
+        for at in itertools.combinations(range(n), lost):
+            same = "".join("01"[k not in at] for k in range(n))
+            assert any(all(same[p + k] == "1" for k, bit in enumerate(m) if bit == "1") for m in decontamination.masks_of(n, lost) for p in range(n - len(m) + 1)), (n, at)
+
+
+def test_decontamination_of_every_substitution(spark):
+    bench = {n: item(50 + n, n) for n in (*range(3, 14), 20)}
+    docs = []
+    for n, b in bench.items():
+        for lost in range(4):
+            for at in itertools.combinations(range(min(n, 13)), lost):
+                docs.append([w if k not in at else f"sub{k}" for k, w in enumerate(b)] + item(len(docs) + 5000, 2))
+        docs += [b[1:], b[:-1], b[2:], b[:-2]]  # cut off at an end of the text
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench.items()], "item_id long, text string")
+    want = {i for i, w in enumerate(docs) if any(leaked(w, b) for b in bench.values())}
+    assert {r["doc_id"] for r in decontamination.leaks(df, items).collect()} == want
+
+
 def test_urls(spark):
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     urls = {
