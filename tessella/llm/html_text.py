@@ -7,13 +7,12 @@ of one host with equal sums form an equivalence class.  A class is valid when it
 stand exactly once on at least half of the host's pages, at least two; valid classes nest
 by path into the host's template, and what lies between template tags is its slots.  Slots
 under navigation, headers, footers, asides, forms, adverts, notices or comments are not
-content; of the others the article slot (``article``, ``main``) wins, else the one that holds
-most distinct text.  Everything in that slot, outside such regions, is the main text: text
-that repeats inside it, as copies do, is content and stays.  Hosts with one page use the
-template of all hosts together.
+content.  The text of all others is the main text, in page order.  ``content_slots`` names
+the article slot (``article``, ``main``) of a host, else the one that holds most distinct
+text; hosts with one page use the template of all hosts together.
 
 Edge cases: null html is empty and gives an empty text; a null url belongs to the host
-``''``; a page without the host's content slot falls back to its own best slot; repeated
+``''``; repeated
 rows are pages of their own; an empty table gives no row; other columns are ignored.
 """
 
@@ -240,55 +239,31 @@ def content_slots(pages: DataFrame, share: float = 0.5) -> DataFrame:
     return found.filter(~outside).groupBy("host").agg(F.max(rank).alias("best")).select("host", F.col("best.path").alias("slot"))
 
 
-def extract(page: str, slot: str | None) -> str:
-    """The blocks of the slot, joined by blank lines."""
-    places: dict[str, list[str]] = {}
-    open_text: dict[str, list[str]] = {}
-    order: list[str] = []
+def extract(page: str) -> str:
+    """The blocks of all content of the page, joined by blank lines."""
+    blocks: list[str] = []
+    open_text: list[str] = []
 
     def close():
-        for key in order:
-            if block := clean("".join(open_text[key])):
-                places.setdefault(key, []).append(block)
+        if block := clean("".join(open_text)):
+            blocks.append(block)
         open_text.clear()
-        order.clear()
 
-    for kind, path, outside, text in walk(page):
+    for kind, _, outside, text in walk(page):
         if kind == "break":
             close()
         elif kind == "text" and not outside:
-            key = slot_of(path)
-            if slot and key != slot and f"{'>'.join(path)}>".startswith(f"{slot}>"):
-                key = slot
-            if key not in open_text:
-                open_text[key] = []
-                order.append(key)
-            open_text[key].append(text)
+            open_text.append(text)
     close()
-    if not slot or slot not in places:
-        def weight(key):
-            return key.rpartition(">")[2].split(".")[0] in CONTENT, sum(map(len, places[key]))
-
-        slot = max(places, key=weight, default=None)
-    return "\n\n".join(places.get(slot, []))
-
-
-def main_text(pages: DataFrame, share: float = 0.5) -> DataFrame:
-    """(page_id, url, text): the main text of every page.
+    return "\n\n".join(blocks)
 
-    Slots are one row a host; they are joined by host without a hint, so the planner
-    broadcasts them where they are small and splits a hot host where they are not."""
-    slots = materialize(content_slots(pages, share), "slots")
-    whole = slots.filter("host = '*'").first()
-    common = whole["slot"] if whole else None
 
+def main_text(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text): the main text of every page."""
     def run(batches):
         for batch in batches:
-            out = []
-            for slot, page in zip(batch.column(2), batch.column(3)):
-                out.append(extract(page.as_py() or "", slot.as_py() or common))
+            out = [extract(page.as_py() or "") for page in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
-    joined = rows.join(slots, "host", "left").select("page_id", "url", "slot", "html")
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return rows.mapInArrow(run, "page_id long, url string, text string")

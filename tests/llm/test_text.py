@@ -137,6 +137,22 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_html_keeps_all_content(spark):
+    bodies = {
+        "split": "<div class=intro><p>In %d</p></div><div class=body><p>Body %d</p><p>More %d</p></div>",
+        "sections": "<section id=a>A %d</section><section id=b>B %d</section><section id=c>C %d</section>",
+        "nested": "<main><h1>H %d</h1><article><p>P %d</p><article>Q %d</article></article></main>",
+        "copies": "<div class=intro>Same start</div><div class=body><p>Same body</p><p>Same end</p></div><!-- %d %d %d -->",
+    }
+    rows = [(10 * n + k, f"http://{host}.com/{k}", f"<html><body><nav>Menu</nav>{body % (k, k, k)}</body></html>") for n, (host, body) in enumerate(bodies.items()) for k in range(4)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(4):
+        assert got[k] == [f"In {k}", f"Body {k}", f"More {k}"]
+        assert got[10 + k] == [f"A {k}", f"B {k}", f"C {k}"]
+        assert got[20 + k] == [f"H {k}", f"P {k}", f"Q {k}"]
+        assert got[30 + k] == ["Same start", "Same body", "Same end"]
+
+
 def test_quality(spark):
     r = random.Random(2)
     good = [" ".join(f"w{r.randrange(400)}" for _ in range(r.randint(5, 80))) + "." for _ in range(200)]
