@@ -7,13 +7,15 @@ of one host with equal sums form an equivalence class.  A class is valid when it
 stand exactly once on at least half of the host's pages, at least two; valid classes nest
 by path into the host's template, and what lies between template tags is its slots.  Slots
 under navigation, headers, footers, asides, forms, adverts, notices or comments are not
-content.  The text of all others is the main text, in page order.  ``content_slots`` names
-the article slot (``article``, ``main``) of a host, else the one that holds most distinct
-text; hosts with one page use the template of all hosts together.
+content.  The text of all others is the main text, in page order, but for the host's template
+text: text nodes of a valid class that lie neither in an ``article`` or ``main`` nor in the
+host's content slot (the article slot, else the one that holds most distinct text).  A class
+that holds text of these places too is no template but what copies of pages share, and
+stays.  Hosts with one page use the content slot of all hosts together.
 
 Edge cases: null html is empty and gives an empty text; a null url belongs to the host
-``''``; repeated
-rows are pages of their own; an empty table gives no row; other columns are ignored.
+``''``; a page of template text only keeps it; repeated rows are pages of their own; an
+empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,10 +48,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CONTENT = frozenset("article main".split())
 CUT_OFF = re.compile(r"<[/!?a-zA-Z][^>]*\Z")
 CLOSED_BY = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+# A name says what its last word does ("cookie-notice", not "notice-period"), words of layout aside;
+# names count on blocks only.
 NAMED_OUTSIDE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adv|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumb\w*|header|masthead|"
     r"footer|notice\w*|cookie\w*|consent|alert|popup|modal|newsletter|subscribe\w*|comment\w*|respond|replies|disqus\w*|"
-    r"share|social|related|widget\w*|toolbar|login|pagination|pager)(?:$|[\s_-])",
+    r"share|social|related|widget\w*|toolbar|login|pagination|pager)"
+    r"(?:[_-](?:area|bar|block|bottom|box|container|content|inner|item|items|left|links|list|outer|right|section|slot|top|unit|wrap|wrapper|\d+))*(?:$|\s)",
     re.I,
 )
 MASK = (1 << 64) - 1
@@ -62,7 +67,7 @@ def _attributes(text: str) -> dict[str, str]:
 def is_outside(tag: str, attributes: dict[str, str]) -> bool:
     if tag in OUTSIDE or attributes.get("role", "").lower() in ROLES:
         return True
-    if tag in ("html", "body", *CONTENT):
+    if tag in ("html", "body", "p", *CONTENT) or tag not in BLOCK:
         return False
     return any(NAMED_OUTSIDE.search(attributes.get(k, "")) for k in ("class", "id"))
 
@@ -208,11 +213,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host_of(F.col("url")).alias("host"), "html").mapInArrow(run, OCCURRENCES)
 
 
-def templates(pages: DataFrame, share: float = 0.5) -> DataFrame:
-    """(host, path, class_size, content): the nested tags of each host's valid classes, and
-    whether text slots in them may hold content.  Host ``*`` stands for all hosts."""
+def vectors(pages: DataFrame) -> DataFrame:
+    """The occurrence vector of every (host, path, token)."""
+    sums = [F.sum(c).alias(c) for c in ("pages", "occurrences", "low", "high")]
+    return materialize(occurrences(pages).groupBy("host", "path", "token").agg(*sums), "occurrences")
+
+
+def templates(by_host: DataFrame, share: float = 0.5) -> DataFrame:
+    """(host, path, class_size, texts): the nested tags of each host's valid classes, and how
+    many distinct texts lie in them.  Host ``*`` stands for all hosts."""
     sums = [F.sum(c).alias(c) for c in ("pages", "occurrences", "low", "high")]
-    by_host = materialize(occurrences(pages).groupBy("host", "path", "token").agg(*sums), "occurrences")
     tags = by_host.filter("token = ''")
     everywhere = tags.groupBy("path", "token").agg(*sums)
     text = by_host.filter("token <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("texts"))
@@ -230,7 +240,11 @@ def templates(pages: DataFrame, share: float = 0.5) -> DataFrame:
 
 def content_slots(pages: DataFrame, share: float = 0.5) -> DataFrame:
     """(host, slot): the template path whose slot holds the main text."""
-    found = templates(pages, share)
+    return _slots(vectors(pages), share)
+
+
+def _slots(by_host: DataFrame, share: float) -> DataFrame:
+    found = templates(by_host, share)
     last = F.element_at(F.split("path", ">"), -1)
     tag = F.split(last, r"\.")[0]
     steps = F.split("path", ">")
@@ -239,31 +253,73 @@ def content_slots(pages: DataFrame, share: float = 0.5) -> DataFrame:
     return found.filter(~outside).groupBy("host").agg(F.max(rank).alias("best")).select("host", F.col("best.path").alias("slot"))
 
 
-def extract(page: str) -> str:
-    """The blocks of all content of the page, joined by blank lines."""
+def template_texts(by_host: DataFrame, slots: DataFrame, share: float = 0.5) -> DataFrame:
+    """(host, texts): keys of the text nodes that belong to the host's template."""
+    sizes = by_host.filter("path = '' and token = ''").select("host", F.col("pages").alias("host_pages"))
+    once = by_host.filter("token <> ''").join(sizes, "host").join(slots, "host", "left").filter(
+        (F.col("pages") >= 2) & (F.col("pages") >= share * F.col("host_pages")) & (F.col("occurrences") == F.col("pages"))
+    )
+    steps = F.split("path", ">")
+    outside = F.exists(steps, lambda s: F.split(s, r"\.")[0].isin(*sorted(OUTSIDE)))
+    content = F.exists(steps, lambda s: F.split(s, r"\.")[0].isin(*sorted(CONTENT)))
+    content = content | F.coalesce(F.startswith(F.concat("path", F.lit(">")), F.concat("slot", F.lit(">"))), F.lit(False))
+    key = F.concat("path", F.lit("|"), "token")
+    classes = once.filter(~outside).groupBy("host", "low", "high").agg(F.max(content).alias("content"), F.collect_list(key).alias("texts"))
+    return classes.filter(~F.col("content")).groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+
+
+def extract(page: str, slot: str | None, template=frozenset()) -> str:
+    """The blocks of all content of the page, without the text nodes of ``template``, joined by
+    blank lines."""
     blocks: list[str] = []
     open_text: list[str] = []
+    left_out = False
 
     def close():
         if block := clean("".join(open_text)):
             blocks.append(block)
         open_text.clear()
 
-    for kind, _, outside, text in walk(page):
+    for kind, path, outside, text in walk(page):
         if kind == "break":
             close()
         elif kind == "text" and not outside:
-            open_text.append(text)
+            if template and (words := text.strip()) and not _in_content(path, slot) and f"{slot_of(path)}|{_hash(words):016x}" in template:
+                left_out = True
+            else:
+                open_text.append(text)
     close()
-    return "\n\n".join(blocks)
+    return extract(page, slot) if left_out and not blocks else "\n\n".join(blocks)
+
+
+def _in_content(path: tuple[str, ...], slot: str | None) -> bool:
+    return any(x.split(".")[0] in CONTENT for x in path) or bool(slot) and f"{'>'.join(path)}>".startswith(f"{slot}>")
+
+
+def main_text(pages: DataFrame, share: float = 0.5) -> DataFrame:
+    """(page_id, url, text): the main text of every page.
 
+    Slots and template texts are one row a host; they are joined by host without a hint, so
+    the planner broadcasts them where they are small and splits a hot host where they are not."""
+    by_host = vectors(pages)
+    slots = materialize(_slots(by_host, share), "slots")
+    hosts = materialize(slots.join(template_texts(by_host, slots, share), "host", "full"), "hosts")
+    whole = slots.filter("host = '*'").first()
+    common = whole["slot"] if whole else None
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text): the main text of every page."""
     def run(batches):
+        known = {}
         for batch in batches:
-            out = [extract(page.as_py() or "") for page in batch.column(2)]
+            out = []
+            for host, slot, texts, page in zip(*(batch.column(k) for k in range(2, 6))):
+                name = host.as_py()
+                if name not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[name] = frozenset(texts.as_py() or ())
+                out.append(extract(page.as_py() or "", slot.as_py() or common, known[name]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
+    joined = rows.join(hosts, "host", "left").select("page_id", "url", "host", "slot", "texts", "html")
+    return joined.mapInArrow(run, "page_id long, url string, text string")

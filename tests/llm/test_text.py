@@ -142,6 +142,7 @@ def test_html_keeps_all_content(spark):
         "split": "<div class=intro><p>In %d</p></div><div class=body><p>Body %d</p><p>More %d</p></div>",
         "sections": "<section id=a>A %d</section><section id=b>B %d</section><section id=c>C %d</section>",
         "nested": "<main><h1>H %d</h1><article><p>P %d</p><article>Q %d</article></article></main>",
+        "plain": "<div class=strap>Subscribe here</div><div class=body><p>Body %d</p><p>Two %d</p><p>Three %d</p></div>",
         "copies": "<div class=intro>Same start</div><div class=body><p>Same body</p><p>Same end</p></div><!-- %d %d %d -->",
     }
     rows = [(10 * n + k, f"http://{host}.com/{k}", f"<html><body><nav>Menu</nav>{body % (k, k, k)}</body></html>") for n, (host, body) in enumerate(bodies.items()) for k in range(4)]
@@ -150,7 +151,14 @@ def test_html_keeps_all_content(spark):
         assert got[k] == [f"In {k}", f"Body {k}", f"More {k}"]
         assert got[10 + k] == [f"A {k}", f"B {k}", f"C {k}"]
         assert got[20 + k] == [f"H {k}", f"P {k}", f"Q {k}"]
-        assert got[30 + k] == ["Same start", "Same body", "Same end"]
+        assert got[30 + k] == [f"Body {k}", f"Two {k}", f"Three {k}"]
+        assert got[40 + k] == ["Same start", "Same body", "Same end"]
+
+
+def test_html_names():
+    kept = ["div.related-work", "section.side-effects", "div.share-prices", "div.notice-period", "div.comment-free", "p.notice", "span.ad"]
+    out = ["div.ad", "div.cookie-notice", "div.nav-bar", "div.x ad-slot-2", "div.comment-list", "ul.share", "section.related", "div.sidebar-left"]
+    assert [x for x in kept + out if html_text.is_outside(x.split(".")[0], {"class": x.split(".")[1]})] == out
 
 
 def test_quality(spark):
