@@ -1,9 +1,9 @@
 """Shuffling fixed-width records as packed blobs.
 
 Map tasks pack numpy records by bucket into few binary rows; a reduce task gathers the
-blobs of its buckets.  Rows that carry a key pass through.  ``buckets`` follows
-``spark.sql.shuffle.partitions``, so what a task gathers stays bounded as that is set to
-the size of the data.
+blobs of its buckets, one bucket to a task.  Rows that carry a key pass through.  There are at
+least ``spark.sql.shuffle.partitions`` buckets, and one for every BUCKET_BYTES of input, so what
+a task gathers stays bounded however large the input is and whatever that setting is.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import partitions
+from tessella.llm.common import input_bytes, partitions
 
+BUCKET_BYTES = 16_000_000  # of compressed input
 SCHEMA = "bucket int, key long, data binary"
 NAMES = ["bucket", "key", "data"]
 
@@ -60,12 +61,13 @@ def by_key(out: Out, bucket: int, keys: np.ndarray, records: np.ndarray, spread:
 
 
 def n_buckets(df: DataFrame) -> int:
-    return partitions(df.sparkSession)
+    """Buckets for what is made of ``df``."""
+    return max(partitions(df.sparkSession), (input_bytes(df) or 0) // BUCKET_BYTES)
 
 
-def reduce_buckets(rows: DataFrame, reduce: Callable[[list[bytes], Out, int], None]) -> DataFrame:
+def reduce_buckets(rows: DataFrame, reduce: Callable[[list[bytes], Out, int], None], n: int) -> DataFrame:
     """Keyed rows of SCHEMA: those of ``rows`` that have a key, and what ``reduce`` adds for
-    the blobs of each bucket."""
+    the blobs of each of the ``n`` buckets."""
     def run(batches):
         held: dict[int, list[bytes]] = {}
         out = Out()
@@ -81,4 +83,4 @@ def reduce_buckets(rows: DataFrame, reduce: Callable[[list[bytes], Out, int], No
             yield from out.take()
         yield from out.take(last=True)
 
-    return rows.repartitionById(partitions(rows.sparkSession), F.col("bucket")).mapInArrow(run, SCHEMA)
+    return rows.repartitionById(n, F.col("bucket")).mapInArrow(run, SCHEMA)

@@ -12,14 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, list[str]] = {}
+LOCAL = "/tmp/checkpoints/tessella"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; own only where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where it is unset, a local
+    folder serves a local master, whose executor is the driver; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/checkpoints/tessella"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = LOCAL
     return path.rstrip("/")
 
 
@@ -38,6 +41,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def mark() -> int:
+    """A point in the list of scratch tables, for ``drop_since``."""
+    return len(_SCRATCH.get("paths", []))
+
+
+def drop_since(spark: SparkSession, point: int, *keep: DataFrame) -> None:
+    """Delete the scratch tables written since ``point`` but those that ``keep`` reads."""
+    kept = {name.rpartition("/")[0].rpartition("/")[2] for df in keep for name in df.inputFiles()}
+    paths = _SCRATCH.get("paths", [])
+    for path in paths[point:]:
+        if path.rpartition("/")[2] not in kept:
+            drop_path(spark, path)
+    paths[point:] = [p for p in paths[point:] if p.rpartition("/")[2] in kept]
+
+
 def _drop_all(spark: SparkSession) -> None:
     for path in _SCRATCH.pop("paths", []):
         try:
@@ -73,6 +91,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Catalyst's estimate of the size of ``df``; None where it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < 1 << 55 else None
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes as uint8, int64 offsets of length n + 1) of an Arrow string column."""
     wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import drop_since, mark, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, root) of every vertex of edges (a, b); root is the least vertex reachable."""
-    spark = edges.sparkSession
+    spark, point = edges.sparkSession, mark()
     left = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
     while True:
@@ -33,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         b = jumped.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         left = left.join(a, "a").join(b, "b").filter("pa <> pb")
         left = materialize(left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        drop_since(spark, point, left, labels)  # only the edges left and the labels are read again
         if left.isEmpty():
-            return labels if labels is not None else spark.createDataFrame([], "vertex long, root long")
+            return labels

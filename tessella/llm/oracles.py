@@ -72,31 +72,21 @@ FROM u LEFT JOIN m ON u.page_id = m.page_id LEFT JOIN h3 ON u.host = h3.host
 for _source in ("s1", "d1", "h1"):  # each strength reads the level it belongs to
     OP6 = OP6.replace("{source}", _source, 1).replace(f" AS s FROM {_source})", " AS s)", 1)
 
-_MASKS = {"11011011": (0, 1, 3, 4, 6, 7), "1110010111": (0, 1, 2, 5, 7, 8, 9), "110100110011": (0, 1, 3, 6, 7, 10, 11)}
-
-
-def _seeds(table: str, key: str) -> str:
-    each = " UNION ALL ".join(
-        f"SELECT {key}, i, w, '{m}' || ' ' || {' || chr(32) || '.join(f'w[i + {k}]' for k in kept)} AS seed FROM {table} WHERE i + {len(m) - 1} <= len(w)"
-        for m, kept in _MASKS.items()
-    )
-    return f"({each})"
-
-
-OP9 = rf"""
-WITH d AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b),
-h AS (SELECT DISTINCT x.doc_id, y.item_id, x.i - y.i AS shift FROM {_seeds('dp', 'doc_id')} x JOIN {_seeds('bp', 'item_id')} y USING (seed)),
+# No seeds: every alignment of a document and an item that share a token at all is counted.  A best
+# window can be taken to end at a token that agrees.
+OP9 = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') AS w FROM d),
+dp AS (SELECT doc_id, hash(doc_id, text) AS r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM dw),
+bw AS (SELECT item_id, hash(item_id, text) AS q, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+bp AS (SELECT item_id, q, len(w) AS size, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS k FROM bw),
 a AS (
-  SELECT doc_id, item_id, shift, k, len(bw) AS size, coalesce(shift + k >= 1 AND dw[shift + k] = bw[k], false)::INTEGER AS same
-  FROM (SELECT h.*, d.w AS dw, b.w AS bw, unnest(range(1, len(b.w) + 1)) AS k FROM h JOIN d USING (doc_id) JOIN b USING (item_id)) q
-), s AS (
-  SELECT doc_id, item_id, shift, size, k, same, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS 12 PRECEDING) AS run FROM a
+  SELECT r, q, doc_id, item_id, size, i - k AS shift, k, count(*) OVER p AS total FROM dp JOIN bp ON dp.t = bp.t AND dp.t <> ''
+  WINDOW p AS (PARTITION BY r, q, i - k) QUALIFY total >= ceil(least(13, size) * 0.8)
 ), g AS (
-  SELECT doc_id, item_id, shift, size, sum(same) AS matched, max(run) FILTER (WHERE k >= least(13, size)) AS best FROM s GROUP BY ALL
+  SELECT r, q, doc_id, item_id, size, shift, total, count(*) OVER (PARTITION BY r, q, shift ORDER BY k RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS best FROM a
 )
-SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(size)::BIGINT AS item_tokens FROM g WHERE best >= ceil(least(13, size) * 0.8) GROUP BY doc_id, item_id
+SELECT doc_id, item_id, max(total)::BIGINT AS matched, max(size)::BIGINT AS item_tokens FROM g WHERE best >= ceil(least(13, size) * 0.8) GROUP BY doc_id, item_id
 """
 
 OP10 = r"""

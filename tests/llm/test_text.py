@@ -62,15 +62,16 @@ def test_decontamination(spark):
         1: noise(1, 50) + bench[1] + noise(2, 50), 2: bench[2], 3: noise(3, 9) + every(bench[1], 9) + noise(4, 9), 4: noise(5, 300),
         5: noise(6, 20) + bench[3], 6: noise(7, 5) + bench[3][:3] + noise(8, 5), 7: noise(9, 30) + bench[1][10:30], 8: bench[1][:8] + noise(10, 50), 9: [],
     }
-    rows = [(i, " ".join(w).upper() + "!", i) for i, w in docs.items()] + [(10, None, 0), (1, " ".join(docs[1]), 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
+    docs[11] = noise(30, 9) + bench[1] + noise(31, 20_000)  # very long
+    rows = [(i, " ".join(w).upper() + "!", i) for i, w in docs.items()] + [(10, None, 0), (1, " ".join(docs[1]), 0), (4, " ".join(noise(40, 9)), 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id long").withColumns({"key": F.lit("clash"), "words": F.lit(1), "seed": F.lit(2.0)})
     items = spark.createDataFrame([(i, ", ".join(w)) for i, w in bench.items()] + [(5, None)], "item_id long, text string")
     want = {i for i, w in docs.items() if any(b and leaked(w, b) for b in bench.values())}
-    assert want == {1, 2, 3, 5, 7}
+    assert want == {1, 2, 3, 5, 7, 11}
     assert {r["doc_id"] for r in decontamination.contaminated(df, items).collect()} == want
     by_shuffle = decontamination.leaks(df, items, most_broadcast=0)
     assert {r["doc_id"] for r in by_shuffle.collect()} == want
-    assert sorted(r["doc_id"] for r in decontamination.decontaminate(df, items).collect()) == [4, 6, 8, 9, 10]
+    assert sorted(r["doc_id"] for r in decontamination.decontaminate(df, items).collect()) == [4, 4, 6, 8, 9, 10]
     assert decontamination.leaks(df.limit(0), items).count() == 0 and decontamination.decontaminate(df, items.limit(0)).count() == len(rows)
 
 
