@@ -93,7 +93,7 @@ def partitions(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int | None:
     """Catalyst's estimate of the size of ``df``; None where it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 55 else None
 
 

@@ -47,8 +47,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    less = substring_dedup.changed(docs).select("doc_id", "n_removed", "kept_sha256").dropDuplicates(["doc_id"])
-    return substring_dedup.untouched(docs).join(less, "doc_id", "left").select(
+    less = substring_dedup.changed(docs).select("row", "n_removed", "kept_sha256")
+    return substring_dedup.untouched(docs).join(less, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")
     )
 
