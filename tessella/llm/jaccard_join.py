@@ -6,9 +6,10 @@ most d = n - ceil(4n/5) of its n shingles in the other.
 
 1. Count.  Inverted lists of shingles are built over all nodes, in two families: nodes of up
    to SMALL shingles with all of them, nodes of at least LARGE with the share RATE of the
-   hash range (a linked pair always meets in a family, and if any node has too few shingles
-   in that range the range is widened to all).  Only list lengths are needed here, and only
-   up to CAP.
+   hash range.  A linked pair meets in a family: one of the two that has more than d shingles
+   in that range shares one there.  A thin node, one with d or fewer, takes part in a third
+   family too, of thin nodes with all their shingles, where it meets other thin nodes.  Only
+   list lengths are needed here, and only up to CAP.
 2. Choose.  A node with more than d shingles that no other node has links with nothing.
    Of the others, the d + 1 in the shortest lists are the short lists of T-occurrence
    search: a linked pair shares one of them.  Their stars give groups of candidates.
@@ -23,8 +24,10 @@ hashes of whole sets; shingles are compared by 64-bit hashes.
 
 Edge cases: null text and text without words are empty sets, which link with nothing; a
 text of fewer than ``width`` words is one shingle; words are compared with A-Z lower-cased;
-repeated rows and equal texts share a node; a null doc_id takes part and gets its group's
-least id, null when alone; an empty table gives no row; other columns are ignored.
+a text of any length is taken whole; repeated rows and equal texts share a node; a row with a
+null doc_id takes part, bridges others and gets its group's least id, null when the group has
+none; lists of equal length are ordered by their key, so ties give the same lists everywhere;
+an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ LIST = np.dtype([("key", "<u4"), ("node", "<u8"), ("full", "?")])
 SHARE = np.dtype([("node", "<u8"), ("key", "<u8"), ("size", "<u4")])  # size 0: key is n and s
 ENTRY = np.dtype([("key", "<u8"), ("node", "<u8")])
 EDGE = np.dtype([("a", "<i8"), ("b", "<i8")])
-ONE = np.uint64(1)
+FAMILY = np.uint64(3)  # the lowest bits of a node id, free for the family
 
 
 def needed(n):
@@ -76,30 +79,41 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int):
 
 
 def node_of(rows: np.ndarray, found: np.ndarray, n_rows: int):
-    """(set size, node id) of each row; the lowest bit of an id is free."""
+    """(set size, node id) of each row; the lowest bits of an id are free."""
     n = np.bincount(rows, minlength=n_rows)
     total = np.zeros(n_rows, np.uint64)
     np.add.at(total, rows, mix(found))
-    return n, mix(total + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~ONE & np.uint64(2**63 - 1)
+    return n, mix(total + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~FAMILY & np.uint64(2**63 - 1)
 
 
-def sampled(found: np.ndarray, rate: float) -> np.ndarray:
-    return found <= np.uint64(min(int(rate * 2**64), 2**64 - 1))
+def sampled(found: np.ndarray) -> np.ndarray:
+    return found <= np.uint64(int(RATE * 2**64))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): ``row`` is a hash of both, so rows without an id have one too."""
+    return docs.select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("row"), "text")
 
 
 def nodes(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, n, node, s): set size, node id and shingles within RATE of the hash range."""
+    """(doc_id, row, n, node): set size and node id of each row of ``keyed`` rows."""
     def run(batches):
-        for keys, data, offsets in rows_of_text(batches, "row"):
-            rows, found = shingles(data, offsets, width)
-            n, node = node_of(rows, found, len(keys))
-            s = np.bincount(rows, sampled(found, RATE), minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64)), pa.array(s)], ["row", "n", "node", "s"])
+        for batch in batches:
+            done = 0
+            for keys, data, offsets in rows_of_text([batch], "row"):
+                rows, found = shingles(data, offsets, width)
+                n, node = node_of(rows, found, len(keys))
+                ids = batch.column(0).slice(done, len(keys))  # a null id would not survive as a number
+                done += len(keys)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64))], ["doc_id", "row", "n", "node"])
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n long, node long")
 
-    # ids go along as they are: a null id would not survive as a number
-    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("row"), "text")
-    out = packed.mapInArrow(run, "row long, n long, node long, s long")
-    return out.select(F.when(F.col("row") != -(2**63) + 1, F.col("row")).alias("doc_id"), "n", "node", "s")
+
+def thin(n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether ``s`` of ``n`` shingles are so few that all of them may be missing from a set at
+    similarity 4/5."""
+    return s <= n - needed(n)
 
 
 def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,20 +152,22 @@ def _send_shares(out: blobs.Out, shares: np.ndarray, n: int) -> None:
     blobs.by_key(out, 0, (mix(shares["node"]) % np.uint64(n)).astype(np.int64), shares, n)
 
 
-def shared_lists(docs: DataFrame, width: int, rate: float) -> DataFrame:
+def shared_lists(docs: DataFrame, width: int) -> DataFrame:
     """Keyed rows of SHARE records: each node's lists of two or more nodes, and its n and s."""
     n_of = blobs.n_buckets(docs)
 
     def index(batches):
         out, held, size = blobs.Out(), [], 0
-        for keys, data, offsets in rows_of_text(batches):
+        for keys, data, offsets in rows_of_text(batches, "row"):
             rows, found = shingles(data, offsets, width)
             n, node = node_of(rows, found, len(keys))
             infos = []
-            for family, fits, salt in ((0, (n <= SMALL) & (n > 0), 0), (1, n >= LARGE, 0x5851F42D4C957F2D)):
+            few = thin(n, np.bincount(rows, sampled(found), minlength=len(keys)))
+            families = ((0, (n <= SMALL) & (n > 0), 0), (1, n >= LARGE, 0x5851F42D4C957F2D), (2, (n >= LARGE) & few, 0x14057B7EF767814F))
+            for family, fits, salt in families:
                 take = fits[rows]
-                if family:
-                    take &= sampled(found, rate)
+                if family == 1:
+                    take &= sampled(found)
                 s = np.bincount(rows[take], minlength=len(keys))
                 info = np.zeros(int(fits.sum()), SHARE)
                 info["node"] = node[fits] | np.uint64(family)
@@ -182,7 +198,7 @@ def shared_lists(docs: DataFrame, width: int, rate: float) -> DataFrame:
         shares["key"] = (np.uint64(bucket) << np.uint64(32)) | entries["key"][told].astype(np.uint64)
         _send_shares(out, shares, n_of)
 
-    return blobs.reduce_buckets(docs.select("doc_id", "text").mapInArrow(index, blobs.SCHEMA), meet)
+    return blobs.reduce_buckets(docs.select("row", "text").mapInArrow(index, blobs.SCHEMA), meet, n_of)
 
 
 def short_lists(shares: np.ndarray) -> np.ndarray:
@@ -200,9 +216,9 @@ def short_lists(shares: np.ndarray) -> np.ndarray:
     rank = np.arange(len(shares)) - np.repeat(head, count)
     chosen = (rank > 0) & (rank <= np.repeat(room, count))
     found = np.zeros(int(chosen.sum()), ENTRY)
-    found["key"], found["node"] = shares["key"][chosen], shares["node"][chosen] & ~ONE
+    found["key"], found["node"] = shares["key"][chosen], shares["node"][chosen] & ~FAMILY
     # families have lists of their own
-    found["key"] |= (shares["node"][chosen] & ONE) << np.uint64(63)
+    found["key"] |= (shares["node"][chosen] & FAMILY) << np.uint64(62)
     return found
 
 
@@ -217,7 +233,7 @@ def _stars(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(edges), entries[head]
 
 
-def candidate_edges(docs: DataFrame, width: int, rate: float) -> DataFrame:
+def candidate_edges(docs: DataFrame, width: int) -> DataFrame:
     """(a, b): stars over the short lists; linked nodes are in one component of these."""
     n = blobs.n_buckets(docs)
 
@@ -232,11 +248,11 @@ def candidate_edges(docs: DataFrame, width: int, rate: float) -> DataFrame:
         if len(edges):
             out.add(bucket, -1, edges.tobytes())
 
-    shares = shared_lists(docs, width, rate)
-    chosen = blobs.reduce_buckets(shares.select(F.col("key").cast("int").alias("bucket"), F.lit(None).cast("long").alias("key"), "data"), choose)
+    shares = shared_lists(docs, width)
+    chosen = blobs.reduce_buckets(shares.select(F.col("key").cast("int").alias("bucket"), F.lit(None).cast("long").alias("key"), "data"), choose, n)
     kept = F.when(F.col("key") < 0, F.col("key"))
     lists = chosen.select(F.when(F.col("key") < 0, F.col("bucket")).otherwise(F.col("key")).cast("int").alias("bucket"), kept.alias("key"), "data")
-    packed = blobs.reduce_buckets(lists, star)
+    packed = blobs.reduce_buckets(lists, star, n)
 
     def unpack(batches):
         for batch in batches:
@@ -290,7 +306,7 @@ def divide_skip(pointer: np.ndarray, tokens: np.ndarray) -> Links:
         seen = seen[(seen < x) & (sizes[seen] >= least)]
         if not len(seen):
             continue
-        seen = np.sort(seen, kind="stable")  # merge of sorted lists
+        seen = np.sort(seen, kind="stable")  # timsort: it finds the sorted lists as runs and merges them
         head, times = _runs(seen)
         found = seen[head]
         for k in np.lexsort((found, -times)):
@@ -310,6 +326,8 @@ def divide_skip(pointer: np.ndarray, tokens: np.ndarray) -> Links:
 
 def search(table: pa.Table, width: int) -> pa.Table:
     """(a, b): each node of a block and the least node that it is linked with in the block."""
+    _, one = np.unique(table.column("node").to_numpy(), return_index=True)  # a repeated row is one node
+    table = table.take(pa.array(one))
     text = table.column("text").combine_chunks()
     node = table.column("node").to_numpy()
     data, offsets = utf8(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
@@ -330,16 +348,14 @@ def search(table: pa.Table, width: int) -> pa.Table:
 
 def link_components(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id that links reach."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = materialize(nodes(docs, width), "nodes")
-    sets = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.min("s").alias("s"))
-    # a family must hold more of a set's shingles than may be missing: else take them all
-    thin = found.filter((F.col("n") >= LARGE) & (F.col("s") <= F.col("n") - F.floor((4 * F.col("n") + 4) / 5))).limit(1)
-    rate = RATE if thin.isEmpty() else 1.0
-    groups = components(candidate_edges(docs, width, rate))
+    # a node's text is that of one of its rows; its least id is null where no row has one
+    sets = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n"))
+    groups = components(candidate_edges(docs, width))
     release(docs.sparkSession)
     members = materialize(
-        groups.select(F.col("vertex").alias("node"), F.col("root").alias("group_id")).join(sets.select("node", "first", "n"), "node"), "members"
+        groups.select(F.col("vertex").alias("node"), F.col("root").alias("group_id")).join(sets.select("node", "row", "n"), "node"), "members"
     )
     parts = members.groupBy("group_id").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / PART_NODES, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts")
@@ -349,8 +365,8 @@ def link_components(docs: DataFrame, width: int = 5) -> DataFrame:
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda other: F.xxhash64("group_id", F.least("own", other), F.greatest("own", other)),
     )
-    blocks = members.join(parts, "group_id").withColumn("own", own).select(F.col("first").alias("doc_id"), "node", pairs.alias("blocks"))
-    texts = docs.join(blocks.hint("shuffle_hash"), "doc_id")
+    blocks = members.join(parts, "group_id").withColumn("own", own).select("row", "node", pairs.alias("blocks"))
+    texts = docs.select("row", "text").join(blocks.hint("shuffle_hash"), "row")
     rows = texts.select(F.explode("blocks").alias("block"), "node", "text")
     links = rows.groupBy("block").applyInArrow(lambda table: search(table, width), "a long, b long")
     linked = components(links)

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from brute import components, kept, shingle_set  # noqa: E402
-from conftest import TEXTS  # noqa: E402
+from brute import components, kept  # noqa: E402
+from conftest import TEXTS, words  # noqa: E402
 
 from tessella.llm import jaccard_join, substring_dedup  # noqa: E402
 from tessella.llm.components import components as connected  # noqa: E402
@@ -45,6 +45,24 @@ def test_substring_edges(docs, no_docs):
     assert substring_dedup.dedup_substrings(no_docs).count() == 0
 
 
+def test_substring_rows_of_one_id(spark):
+    """Long rows that repeat, and rows that share an id and differ in text, each keep their own."""
+    a, b, c = (" ".join(words(k, 60)) for k in (71, 72, 73))
+    rows = [(1, a), (2, a), (2, a), (2, f"{b} {a} tail"), (2, "short"), (3, f"{c} {b}"), (3, f"{b} more"), (3, None), (4, f"{c} {c}"), (4, f"{c} {c}"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    windows = lambda w: {tuple(w[p : p + 13]) for p in range(len(w) - 12)}
+    want = []
+    for i, text in rows:
+        w = (text or "").split()
+        known = set().union(*(windows((t or "").split()) for j, t in rows if i is not None and j is not None and j < i), set())
+        gone = [any(tuple(w[p : p + 13]) in known for p in range(max(0, k - 12), k + 1)) for k in range(len(w))]
+        kept = text if not any(gone) else " ".join(x for x, g in zip(w, gone) if not g)
+        want.append((i, kept, sum(gone)))
+    got = [tuple(r) for r in substring_dedup.dedup_substrings(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(x[2] for x in want) > 300
+    assert substring_dedup.changed(df).count() == 5  # equal rows once
+
+
 def test_substring_random(spark):
     texts = random_texts(5)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
@@ -71,6 +89,20 @@ def test_jaccard_edges(docs, no_docs):
     assert jaccard_join.link_components(no_docs).count() == 0
 
 
+def test_jaccard_null_ids_and_thin_samples(spark, monkeypatch):
+    """Rows without an id have near copies and bridge others; sets with too few shingles in the
+    sampled range are linked all the same."""
+    w = words(81, 100)
+    other = words(82, 600)
+    texts = [(None, w), (5, [*w[:-1], "x"]), (7, [*w[3:], "a", "b"]), (None, words(83, 50)), (9, other), (4, [*other[:-1], "y"]), (None, [*other, "z"]), (6, words(84, 600))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").repartition(3)
+    for rate in (jaccard_join.RATE, 1e-9):  # no set has a shingle in so small a range
+        monkeypatch.setattr(jaccard_join, "RATE", rate)
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()), key=repr)
+        want = [(None, 96, 5), (5, 96, 5), (7, 95, 5), (None, 46, None), (9, 596, 4), (4, 596, 4), (None, 597, 4), (6, 596, 6)]
+        assert got == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("parts", [(2_000, 2_000_000), (7, 2_000_000)])
 def test_jaccard_random(spark, monkeypatch, parts):
     monkeypatch.setattr(jaccard_join, "PART_NODES", parts[0])
@@ -103,4 +135,4 @@ def test_components(spark):
     path = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["vertex"]: r["root"] for r in connected(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
-    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0 and len(shingle_set("a b")) == 1
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
