@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessella.llm.url_filters import SUFFIXES
+
 OP3 = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -42,8 +44,9 @@ o AS (
   SELECT host, string_split(host, '.') AS l, bad FROM u
   LEFT JOIN b ON b.doc_id = TRY_CAST(regexp_extract(path, '^/[^/]*/([0-9]{1,18})', 1) AS BIGINT)
 ), h AS (
-  SELECT host, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain, l[len(l)] AS suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
-  FROM o GROUP BY ALL
+  SELECT host, CASE WHEN t IN ({suffixes}) THEN array_to_string(l[greatest(len(l) - 2, 1):], '.') ELSE t END AS domain,
+    CASE WHEN t IN ({suffixes}) THEN t ELSE l[len(l)] END AS suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k
+  FROM (SELECT *, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS t FROM o) GROUP BY ALL
 ), d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d0 GROUP BY ALL),
 w AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS base FROM s0),
@@ -53,16 +56,16 @@ d1 AS (SELECT d0.*, suffix_mean AS prior FROM d0 JOIN s2 USING (suffix)), a2 AS
 d2 AS (SELECT domain, (k + s * prior) / (n + s) AS domain_mean FROM d1, a2),
 h1 AS (SELECT h.*, domain_mean AS prior FROM h JOIN d2 USING (domain)), a3 AS (SELECT {strength} AS s FROM h1),
 h2 AS (SELECT host, k + s * prior AS a, n - k + s * (1 - prior) AS b FROM h1, a3),
-h3 AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM h2),
+h3 AS (SELECT host, a / (a + b) - 0.6745 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM h2),
 r AS (SELECT * FROM (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'),
   ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) v(rh, rp, rule, verdict)),
 m AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u JOIN r
   ON (u.host = rh OR ends_with(u.host, '.' || rh)) AND starts_with(u.path, rp) GROUP BY page_id
 )
-SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN m ON u.page_id = m.page_id LEFT JOIN h3 ON u.host = h3.host
-""".replace(
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, CASE WHEN low > base THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN m ON u.page_id = m.page_id LEFT JOIN h3 ON u.host = h3.host CROSS JOIN w
+""".replace("{suffixes}", ", ".join(f"'{s}'" for s in SUFFIXES)).replace(
     "{strength}",
     """(SELECT CASE WHEN g IS NULL OR g < 2 OR wi IS NULL OR wi = 0 OR free <= 0 OR be - wi / al * (g - 1) <= 0 THEN 200.0
   ELSE least(200.0, greatest(2.0, 1 / ((be - wi / al * (g - 1)) / (wi / al * free)) - 1)) END
