@@ -4,14 +4,20 @@ conversation := ``<s>`` turn*
 turn         := ``[INST]`` T ``[/INST]`` (user) | ``<<SYS>>`` T ``<</SYS>>`` (system)
               | ``[OUT]`` T ``</s>`` (assistant) | ``[ROLE]`` R ``[TURN]`` T ``[/ROLE]`` (other)
 
-A turn is rendered as it is and parsed again; where the parser does not recover role and
-text, or a control string stands inside the text, the text is escaped (a backslash after
-the first character of a control string, backslashes doubled) and parsed once more.
-The parser always unescapes.
+The parser is deterministic: it splits a string at all control strings; a turn is a closing
+string that directly follows its opening one, T and R are what stands between, unescaped.  So
+a control string inside a text breaks its turn.
+
+Formatting is a loop.  A conversation is rendered with its texts as they are, parsed again, and
+compared with its source.  Where it is not identical, the texts whose own turns the parser does not
+recover are escaped (a backslash after the first character of a control string, backslashes
+doubled) and the whole is rendered, parsed and compared again; in a last round all texts are
+escaped; what still differs raises an error.
 
 Edge cases: null text and null role are empty; a null conv_id is a conversation of its
-own; turns of equal number are ordered by role, then text; repeated rows stay; an empty
-table gives no conversation; other columns are ignored.
+own; turns of equal number are ordered by role, then text; repeated rows stay; a text of any
+length is taken whole (a conversation is one string, so at most 2 GB); an empty table gives no
+conversation; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +27,6 @@ from pyspark.sql import functions as F
 
 CONTROL = r"</?s>|\[/?INST\]|<<SYS>>|<</SYS>>|\[OUT\]|\[/?ROLE\]|\[TURN\]"
 FIRST = r"([<\[])(?=/?s>|/?INST\]|<SYS>>|</SYS>>|OUT\]|/?ROLE\]|TURN\])"
-TURN = r"(?s)\[INST\].*?\[/INST\]|<<SYS>>.*?<</SYS>>|\[OUT\].*?</s>|\[ROLE\].*?\[TURN\].*?\[/ROLE\]"
 MARKS = {"user": ("[INST]", "[/INST]"), "system": ("<<SYS>>", "<</SYS>>"), "assistant": ("[OUT]", "</s>")}
 
 
@@ -41,57 +46,57 @@ def render(role: Column, text: Column) -> Column:
     return out
 
 
-def parse_turn(turn: Column) -> Column:
-    """struct(role, text) of one rendered turn."""
-    def inner(begin: str, end: str) -> Column:
-        return F.substr(turn, F.lit(len(begin) + 1), F.length(turn) - len(begin) - len(end))
-
-    other = inner("[ROLE]", "[/ROLE]")
-    role = unescape(F.substring_index(other, "[TURN]", 1))
-    text = F.substr(other, F.length(F.substring_index(other, "[TURN]", 1)) + len("[TURN]") + 1)
-    for name, (begin, end) in MARKS.items():
-        here = F.startswith(turn, F.lit(begin))
-        role = F.when(here, F.lit(name)).otherwise(role)
-        text = F.when(here, inner(begin, end)).otherwise(text)
-    return F.struct(role.alias("role"), unescape(text).alias("text"))
-
-
 def parse(formatted: Column) -> Column:
     """array<struct(role, text)> of a formatted conversation."""
-    return F.transform(F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0)), parse_turn)
+    marks = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
+    between = F.split(formatted, CONTROL)  # between[i] stands before marks[i]
 
+    def turn(mark: Column, i: Column) -> Column:
+        before = lambda k: F.get(marks, i - k)
+        text = unescape(F.get(between, i))
+        other = (mark == "[/ROLE]") & (before(1) == "[TURN]") & (before(2) == "[ROLE]")
+        found = F.when(other, F.struct(unescape(F.get(between, i - 1)).alias("role"), text.alias("text")))
+        for name, (begin, end) in MARKS.items():
+            found = found.when((mark == end) & (before(1) == begin), F.struct(F.lit(name).alias("role"), text.alias("text")))
+        return found
 
-def format_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, rendered, escaped) per row; each turn is checked by
-    parsing it again, and an unrecoverable one raises."""
-    plain = rows.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    role, text = F.col("role"), F.col("text")
+    return F.filter(F.transform(marks, turn), lambda t: t.isNotNull())
 
-    def recovered(rendered: Column) -> Column:
-        turns = parse(rendered)
-        return (F.size(turns) == 1) & (turns[0]["role"] == role) & (turns[0]["text"] == text)
 
-    tried = plain.withColumn("_raw", render(role, text))
-    fits = ~F.rlike(text, F.lit(CONTROL)) & recovered(F.col("_raw"))
-    marked = tried.withColumn("escaped", ~fits).withColumn(
-        "rendered", F.when(~F.col("escaped"), F.col("_raw")).otherwise(render(role, escape(text)))
-    )
-    sure = F.when(~F.col("escaped") | recovered(F.col("rendered")), F.col("rendered")).otherwise(
-        F.raise_error(F.lit("turn is not recovered")).cast("string")
-    )
-    return marked.withColumn("rendered", sure).drop("_raw")
+def _rendered(turns: Column, escaped: Column) -> Column:
+    """The conversation; ``escaped`` says of each turn whether its text is escaped."""
+    one = lambda t, e: render(t["role"], F.when(e, escape(t["text"])).otherwise(t["text"]))
+    return F.concat(F.lit("<s>"), F.array_join(F.zip_with(turns, escaped, one), ""))
 
 
-def format_chats(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted): one string per conversation.
+def _own_conflict(t: Column) -> Column:
+    """Whether the parser does not recover a turn that is rendered as it is."""
+    again = parse(render(t["role"], t["text"]))
+    return (F.size(again) != 1) | (again[0]["role"] != t["role"]) | (again[0]["text"] != t["text"])
 
-    Only rendered turns are shuffled, gathered map-side first; the string of a
-    conversation is one value and so stands in one row."""
-    turns = format_turns(rows).select("conv_id", F.struct("turn", "role", "rendered").alias("t"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["rendered"]), "")
-    return turns.groupBy("conv_id").agg(F.concat(F.lit("<s>"), whole).alias("formatted"))
+
+def format_chats(rows: DataFrame) -> DataFrame:
+    """(conv_id, formatted, n_escaped): one string per conversation, which the parser turns back
+    into its source.
+
+    A conversation is one value and so stands in one row; its turns are gathered map-side first."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    turns = rows.select("conv_id", F.struct("turn", text("role"), text("text")).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    # a generator's output is a value, so no round is computed twice
+    value = lambda df, column, name: df.select("*", F.explode(F.array(column)).alias(name))
+    plain = turns.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    rounds = (lambda t: F.lit(False), _own_conflict, lambda t: F.lit(True))
+    done = plain.withColumns({"formatted": F.lit(None).cast("string"), "n_escaped": F.lit(0)})
+    for conflict in rounds:
+        open_ = F.col("formatted").isNull()
+        tried = value(done, F.when(open_, F.transform("turns", conflict)), "escaped")
+        tried = value(tried, F.when(open_, _rendered(F.col("turns"), F.col("escaped"))), "again")
+        same = open_ & (parse(F.col("again")) == F.col("turns"))
+        done = value(tried, F.when(same, F.struct(F.col("again").alias("formatted"), F.size(F.filter("escaped", lambda e: e)).alias("n_escaped"))), "found").select(
+            "conv_id", "turns", F.coalesce("formatted", "found.formatted").alias("formatted"), F.coalesce("found.n_escaped", "n_escaped").alias("n_escaped")
+        )
+    sure = F.coalesce("formatted", F.raise_error(F.lit("a conversation is not recovered")).cast("string"))
+    return done.select("conv_id", sure.alias("formatted"), "n_escaped")
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -31,7 +31,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(
+        "SELECT -1L AS conv_id, * FROM VALUES (0L, 'user', :hard), (1L, 'assistant', :hard) AS t(turn, role, text)", args={"hard": hard}
+    )  # an inline table of literals
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     read = chat_format.read_back(chat_format.format_chats(rows))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

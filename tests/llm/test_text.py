@@ -36,7 +36,14 @@ def test_chat_round_trip(spark):
 
 def test_chat_plain_text_is_not_escaped(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi [there]"), (1, 1, "assistant", "a </s> b")], "conv_id long, turn long, role string, text string")
-    assert chat_format.format_chats(df).first()["formatted"] == "<s>[INST]hi [there][/INST][OUT]a <\\/s> b</s>"
+    row = chat_format.format_chats(df).first()
+    assert row["formatted"] == "<s>[INST]hi [there][/INST][OUT]a <\\/s> b</s>" and row["n_escaped"] == 1
+
+
+def test_chat_parser_is_strict(spark):
+    texts = {"<s>[INST]a[/INST]": ["a"], "<s>[INST]a[OUT]b[/INST]": [], "<s>[INST]a</s>[OUT]b</s>": ["b"], "<s>[ROLE]r[TURN]x[/ROLE]": ["x"], "<s>[TURN]x[/ROLE]": [], "": []}
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert {r[0]: [t["text"] for t in r[1]] for r in df.select("s", chat_format.parse(F.col("s"))).collect()} == texts
 
 
 def item(seed, n):
@@ -113,8 +120,22 @@ def test_urls(spark):
 
 def test_reputation(spark):
     rows = [("spam.bad.com", 1)] * 40 + [("one.bad.com", 1)] + [(f"h{k}.good.org", 0) for k in range(30) for _ in range(5)] + [("new.bad.com", None)]
-    low = {r["host"]: r["bad_lower"] for r in url_filters.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    low = {r["host"]: r["bad_lower"] for r in url_filters.reputation(url_filters.host_counts(outcomes), z=1.645).collect()}
     assert low["spam.bad.com"] > 0.5 > low["h1.good.org"] and low["spam.bad.com"] > low["one.bad.com"] >= low["new.bad.com"] > low["h1.good.org"]
+    # the reputation decides verdicts; a rule stands above it
+    urls = ["x://spam.bad.com/a", "x://spam.bad.com/a", "x://spam.bad.com/ok/1", "x://h1.good.org/" + "a" * 100_000, "x://other.net/", None]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, known_host string")
+    verdicts = lambda o, **k: [r["verdict"] for r in url_filters.filter_urls(pages, o, {"bad.com/ok/": "allow"}, **k).orderBy("page_id").collect()]
+    assert verdicts(outcomes) == ["block", "block", "allow", "allow", "allow", "allow"]
+    assert verdicts(outcomes.limit(0)) == verdicts(outcomes, threshold=1.0) == ["allow"] * 6
+
+
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("host", url_filters.domain_of(F.col("host")), url_filters.suffix_of(F.col("host"))).collect()}
+    assert got == hosts
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
