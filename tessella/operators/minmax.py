@@ -5,17 +5,19 @@ statistics, two numbers a column, reach the driver; transform puts them into one
 as literals, so it needs no join and no shuffle.  NaN and null are left out of the fit;
 NaN stays NaN and null stays null.  A constant column scales to 0, values out of the
 fitted range are not clipped unless asked for, and a column without values has the
-statistics (+inf, -inf).
+statistics (+inf, -inf).  Columns or array positions that were not fitted raise.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger(__name__)
 STATS = "feature string, data_min double, data_max double"
 INF = float("inf")
 
@@ -78,7 +80,8 @@ def _lit(x) -> Column:
 
 
 def _clip(c: Column, low: float, high: float) -> Column:
-    return F.when(F.isnan(c), c).otherwise(F.least(F.greatest(c, _lit(low)), _lit(high)))
+    """NaN and null stay: ``least`` and ``greatest`` would order or skip them."""
+    return F.when(c.isNull() | F.isnan(c), c).otherwise(F.least(F.greatest(c, _lit(low)), _lit(high)))
 
 
 def _ranged(c: Column, feature_range: tuple[float, float], clip: bool) -> Column:
@@ -129,49 +132,75 @@ def array_fit(df: DataFrame, col: str) -> DataFrame:
 
 
 def array_transform(df: DataFrame, stats: DataFrame, col: str) -> DataFrame:
-    """``df`` with the array column scaled in place, position by position; rows stay whole."""
+    """``df`` with the array column scaled in place, position by position; rows stay whole.  An
+    array that is longer or shorter than the fitted ones raises, a null array stays null."""
     rows = sorted(stats.collect(), key=lambda r: r["pos"])  # one row per position
     lows = [np.float32(r["data_min"]) for r in rows]
     inverses = [inverse_range(np.float32(r["data_min"]), np.float32(r["data_max"])) for r in rows]
     factors = F.array(*(F.struct(_lit(a).alias("lo"), _lit(b).alias("inv")) for a, b in zip(lows, inverses)))
     value = lambda v, k: (v.cast("float") - F.get(factors, k)["lo"]) * F.get(factors, k)["inv"]
-    return df.withColumn(col, F.transform(F.col(f"`{col}`"), value) if rows else F.col(f"`{col}`"))
+    given = F.col(f"`{col}`")
+    message = F.concat(F.lit(f"array of {col}: {len(rows)} positions were fitted, given "), F.size(given).cast("string"))
+    misfit = F.raise_error(message).cast("array<float>")
+    scaled = F.transform(given, value) if rows else given.cast("array<float>")
+    return df.withColumn(col, F.when(given.isNull() | (F.size(given) == len(rows)), scaled).otherwise(misfit))
 
 
 class MinMaxScaler:
-    """Estimator form: fit, transform, fit_transform, partial_fit and inverse_transform."""
+    """Estimator form: fit, transform, fit_transform, partial_fit and inverse_transform.
 
-    def __init__(self, cols: Sequence[str], feature_range=(0, 1), clip: bool = False, n_jobs: int | None = None):
-        if n_jobs is not None and n_jobs < 1:
-            raise ValueError("n_jobs must be at least 1")
-        self.cols, self.feature_range, self.clip, self.n_jobs = list(cols), feature_range, clip, n_jobs
+    ``copy`` is accepted and changes nothing: a DataFrame is never changed in place.  ``n_jobs``
+    bounds the tasks of a scan that has more of them; rows are not reshuffled.  ``metrics_`` holds
+    the row count that Spark observed while fitting."""
+
+    PARAMETERS = ("cols", "feature_range", "copy", "clip", "n_jobs")
+
+    def __init__(self, cols: Sequence[str], feature_range=(0, 1), copy: bool = True, clip: bool = False, n_jobs: int | None = None):
+        self.set_params(cols=list(cols), feature_range=feature_range, copy=copy, clip=clip, n_jobs=n_jobs)
         self.stats_: DataFrame | None = None
+        self.metrics_: dict[str, int] = {}
 
-    def get_params(self) -> dict:
-        return {"cols": self.cols, "feature_range": self.feature_range, "clip": self.clip, "n_jobs": self.n_jobs}
+    def get_params(self, deep: bool = True) -> dict:
+        return {name: getattr(self, name) for name in self.PARAMETERS}
 
     def set_params(self, **params) -> MinMaxScaler:
-        unknown = set(params) - set(self.get_params())
+        unknown = set(params) - set(self.PARAMETERS)
         if unknown:
             raise ValueError(f"unknown parameters {sorted(unknown)}")
+        if params.get("n_jobs") is not None and params["n_jobs"] < 1:
+            raise ValueError("n_jobs must be at least 1")
         self.__dict__.update(params)
         return self
 
+    def set_output(self, transform: str | None = None) -> MinMaxScaler:
+        """Results are DataFrames; None and "default" are the only containers."""
+        if transform not in (None, "default"):
+            raise ValueError(f"unknown container {transform!r}")
+        return self
+
     def _dealt(self, df: DataFrame) -> DataFrame:
-        return df.repartition(self.n_jobs) if self.n_jobs else df
+        return df.coalesce(self.n_jobs) if self.n_jobs else df
 
     def _stats(self) -> DataFrame:
         if self.stats_ is None:
             raise ValueError("not fitted")
         return self.stats_
 
-    def fit(self, df: DataFrame) -> MinMaxScaler:
-        rows = minmax_fit(self._dealt(df), self.cols).collect()  # one row a column
-        self.stats_ = df.sparkSession.createDataFrame(rows, STATS)
+    def _fitted(self, df: DataFrame, sample_weight=None) -> DataFrame:
+        if sample_weight is not None:
+            LOG.debug("sample_weight does not change extremes and is ignored")
+        seen = Observation()
+        rows = minmax_fit(self._dealt(df).observe(seen, F.count(F.lit(1)).alias("rows")), self.cols).collect()  # one row a column
+        self.metrics_ = {"rows": seen.get["rows"]}
+        LOG.debug("fitted %d columns on %d rows", len(rows), self.metrics_["rows"])
+        return df.sparkSession.createDataFrame(rows, STATS)
+
+    def fit(self, df: DataFrame, y=None, sample_weight=None) -> MinMaxScaler:
+        self.stats_ = self._fitted(df, sample_weight)
         return self
 
-    def partial_fit(self, df: DataFrame) -> MinMaxScaler:
-        new = minmax_fit(self._dealt(df), self.cols)
+    def partial_fit(self, df: DataFrame, y=None, sample_weight=None) -> MinMaxScaler:
+        new = self._fitted(df, sample_weight)
         whole = new if self.stats_ is None else merge_stats(self.stats_, new)
         self.stats_ = df.sparkSession.createDataFrame(whole.collect(), STATS)
         return self
@@ -189,11 +218,13 @@ class MinMaxScaler:
     def transform(self, df: DataFrame) -> DataFrame:
         return minmax_transform(df, self._stats(), self.cols, self.feature_range, self.clip)
 
-    def fit_transform(self, df: DataFrame) -> DataFrame:
-        return self.fit(df).transform(df)
+    def fit_transform(self, df: DataFrame, y=None, **fit_params) -> DataFrame:
+        return self.fit(df, y, **fit_params).transform(df)
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         return minmax_inverse(df, self._stats(), self.cols, self.feature_range)
 
-    def get_feature_names_out(self) -> list[str]:
+    def get_feature_names_out(self, input_features: Sequence[str] | None = None) -> list[str]:
+        if input_features is not None and list(input_features) != self.cols:
+            raise ValueError("input_features are not the fitted columns")
         return list(self.cols)

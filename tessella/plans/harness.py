@@ -55,9 +55,11 @@ def paired_ratio(df: DataFrame, config: Sequence[str], version: str, base: str,
     return df.groupBy(*config).agg(of(base).alias("base"), of(other).alias("other")).withColumn("ratio", F.try_divide("base", "other"))
 
 
-def lookup(df: DataFrame, keys: DataFrame, on: Sequence[str], value: str) -> DataFrame:
-    """The value of each key, NaN where there is none."""
-    one = df.groupBy(*on).agg(F.first(value).alias(value))
+def lookup(df: DataFrame, keys: DataFrame, on: Sequence[str], value: str, order: str | None = None) -> DataFrame:
+    """The value of each key, NaN where there is none; of several the first by ``order``, else the
+    least."""
+    first = F.min_by(value, order) if order else F.min(value)
+    one = df.groupBy(*on).agg(first.alias(value))
     return keys.join(one, list(on), "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))))
 
 
@@ -67,13 +69,11 @@ def relative_columns(df: DataFrame, total: str, cols: Sequence[str]) -> DataFram
 
 
 def overhead_columns(df: DataFrame, outer: str, inner: str, total: str) -> DataFrame:
-    """What ``outer`` takes above ``inner`` and ``total``, and its shares of ``outer``."""
+    """``outer_overhead``: what ``outer`` takes above ``total``; its share of ``outer``; and
+    ``call_overhead``: the share of ``outer`` that it takes above ``inner``."""
     o = F.col(outer)
-    return df.withColumns({
-        "outer_overhead": o - F.col(total),
-        "call_overhead": F.bround(F.try_divide(F.col(inner) - F.col(total), o), 3),
-        "outer_overhead_share": F.bround(F.try_divide(o - F.col(total), o), 3),
-    })
+    share = lambda c: F.bround(F.try_divide(o - F.col(c), o), 3)
+    return df.withColumns({"outer_overhead": o - F.col(total), "call_overhead": share(inner), "outer_overhead_share": share(total)})
 
 
 def with_affixes(df: DataFrame, prefix: str = "", suffix: str = "", without: str | None = None) -> list[str]:
@@ -105,7 +105,8 @@ def sparse_unequal(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str =
 
 def close(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     """Equal within absolute and relative tolerance; NaN equals NaN."""
-    return (F.isnan(a) & F.isnan(b)) | (a == b) | (F.abs(a - b) <= tolerance + tolerance * F.abs(b))
+    near = (a == b) | (F.abs(a - b) <= tolerance + tolerance * F.abs(b))
+    return F.when(F.isnan(a) | F.isnan(b), F.isnan(a) & F.isnan(b)).otherwise(near)  # NaN compares as the largest number
 
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:

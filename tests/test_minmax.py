@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessella.operators import minmax as mm
 from tessella.sources.synthetic import normal_matrix
@@ -49,8 +48,13 @@ def test_estimator(spark):
     assert (scaler.data_min_, scaler.data_max_) == ([1.0], [5.0])
     back = scaler.inverse_transform(scaler.transform(df)).orderBy("id").collect()
     assert [r["v"] for r in back] == [1.0, 2.0, 5.0]
+    assert scaler.metrics_ == {"rows": 1} and scaler.get_params() == {"cols": ["v"], "feature_range": (0, 1), "copy": True, "clip": False, "n_jobs": None}
+    assert scaler.set_output(transform="default").set_params(clip=True).clip and scaler.get_feature_names_out(["v"]) == ["v"]
+    assert [r["v"] for r in mm.MinMaxScaler(["v"], n_jobs=1, copy=False).fit_transform(df, None, sample_weight=None).orderBy("id").collect()] == [0.0, 0.25, 1.0]
     with pytest.raises(ValueError):
         mm.MinMaxScaler(["v"], n_jobs=0)
+    with pytest.raises(ValueError):
+        scaler.set_output(transform="pandas")
     with pytest.raises(ValueError):
         mm.MinMaxScaler(["v"]).transform(df)
     with pytest.raises(ValueError):
@@ -63,7 +67,16 @@ def test_arrays(spark):
     assert got[0]["a"] == [0.0, 0.0] and got[1]["a"] == [1.0, 0.0] and np.isnan(got[2]["a"][0]) and got[2]["a"][1] == 1.0
 
 
+@pytest.mark.parametrize("given", [[1.0, 2.0, 3.0], [1.0], []])
+def test_arrays_of_other_lengths_raise(spark, given):
+    stats = mm.array_fit(spark.createDataFrame([([1.0, 5.0],), ([3.0, 6.0],)], "a array<float>"), "a")
+    fine = spark.createDataFrame([([2.0, None],), (None,)], "a array<float>")
+    assert [r["a"] for r in mm.array_transform(fine, stats, "a").collect()] == [[0.5, None], None]
+    with pytest.raises(Exception, match="2 positions were fitted"):
+        mm.array_transform(spark.createDataFrame([(given,)], "a array<float>"), stats, "a").collect()
+
+
 def test_fit_reads_only_its_columns(spark, tables):
     df = spark.read.parquet(f"{tables}/lineitem.parquet")
     plan = mm.minmax_fit(df, ["l_tax"])._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<l_tax:double>" in plan and F is not None
+    assert "ReadSchema: struct<l_tax:double>" in plan
