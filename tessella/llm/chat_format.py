@@ -50,17 +50,20 @@ def parse(formatted: Column) -> Column:
     """array<struct(role, text)> of a formatted conversation."""
     marks = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
     between = F.split(formatted, CONTROL)  # between[i] stands before marks[i]
-
-    def turn(mark: Column, i: Column) -> Column:
-        before = lambda k: F.get(marks, i - k)
-        text = unescape(F.get(between, i))
-        other = (mark == "[/ROLE]") & (before(1) == "[TURN]") & (before(2) == "[ROLE]")
-        found = F.when(other, F.struct(unescape(F.get(between, i - 1)).alias("role"), text.alias("text")))
+    none = lambda n: F.array(*(F.lit("") for _ in range(n)))
+    # what a turn needs is laid side by side: a lambda that reaches into an array would make it anew each time
+    around = F.arrays_zip(marks, between, F.concat(none(1), marks), F.concat(none(2), marks), F.concat(none(1), between))
+
+    def turn(x: Column) -> Column:
+        mark, before, before_that = x["0"], x["2"], x["3"]
+        text = unescape(x["1"])
+        other = (mark == "[/ROLE]") & (before == "[TURN]") & (before_that == "[ROLE]")
+        found = F.when(other, F.struct(unescape(x["4"]).alias("role"), text.alias("text")))
         for name, (begin, end) in MARKS.items():
-            found = found.when((mark == end) & (before(1) == begin), F.struct(F.lit(name).alias("role"), text.alias("text")))
+            found = found.when((mark == end) & (before == begin), F.struct(F.lit(name).alias("role"), text.alias("text")))
         return found
 
-    return F.filter(F.transform(marks, turn), lambda t: t.isNotNull())
+    return F.filter(F.transform(around, turn), lambda t: t.isNotNull())
 
 
 def _rendered(turns: Column, escaped: Column) -> Column:
@@ -71,8 +74,7 @@ def _rendered(turns: Column, escaped: Column) -> Column:
 
 def _own_conflict(t: Column) -> Column:
     """Whether the parser does not recover a turn that is rendered as it is."""
-    again = parse(render(t["role"], t["text"]))
-    return (F.size(again) != 1) | (again[0]["role"] != t["role"]) | (again[0]["text"] != t["text"])
+    return parse(render(t["role"], t["text"])) != F.array(F.struct(t["role"].alias("role"), t["text"].alias("text")))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
