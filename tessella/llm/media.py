@@ -10,8 +10,9 @@ table once it is closed, so a retried task writes another shard and no row point
 half-written one.
 
 Edge cases: null text is empty; an empty payload is 64 zero bytes; equal texts share a
-digest and so every value; repeated rows stay; an empty table writes no shard; other
-columns are ignored.
+digest and so every value; of several places of a digest the least shard and offset counts; a
+text of any length is one member; repeated rows stay; an empty table writes no shard; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ to pieces by rank within their length.
 
 Edge cases: null text is empty (one id, the closing 0); repeated rows and equal texts are
 pieces of their own; a null doc_id is a document with that id; an empty table gives no
-piece; other columns are ignored; a text of any length is cut whole, never shortened.
+piece; other columns, whatever their names, are ignored; a text of any length is cut whole, never
+shortened; pieces of equal length are ranked by a hash block, then id, start and checksum, so ties
+are between equal pieces only, which may change places.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ clipped statistics, and what keeps a weight is compiled into one Spark column ex
 
 Edge cases: null text is empty and has all statistics 0; null labels and labels of unknown
 documents are left out; with no or one-sided labels the score is the share of label 1 (0.5
-where there is none); repeated rows are scored each; an empty table gives no row; other
-columns are ignored.
+where there is none); several labels of one document count as the largest; a text of any
+length is counted whole; texts with equal statistics score alike, and a statistic at a rule's
+threshold is not above it; repeated rows are scored each; an empty table gives no row; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -3,15 +3,24 @@
 A text's features are its distinct lower-cased words and the beginnings of its words (4 to
 6 letters, so inflected forms share a feature), each once.  Severity grades run from 0
 (clean) to ``grades``.  One weight vector is shared by all thresholds t1 < t2 < ...:
-P(grade >= k) = sigmoid(w . x - t_k).  Labels that are only 0 and 1 are spread over the
-grades by how many features that mark label 1 a labelled text has, so that grade
-1 is a toxic text with few such words.  Features are screened by their smoothed log-odds,
-which does not grow with the sample, and selected by the lasso penalty; the fitted weights
-are few and travel to the tasks with the function.  Expected severity is the sum of P(grade >= k) over k.
+P(grade >= k) = sigmoid(w . x - t_k).  Expected severity is the sum of P(grade >= k) over k.
+
+Labels of more than two values are the grades themselves.  Labels that are only 0 and 1 say
+nothing of severity, so grades are deduced: the labelled rows are dealt into folds, a model of
+one threshold is fitted without each fold, and a row of label 1 gets its grade by the third that
+its margin under the model that has not seen it falls into.  Grade 1 is thus a toxic text that
+others hardly give away.  This is a ranking by how plainly a text is toxic, not a human judgement.
+
+The cut for rejection is chosen on rows not fitted on as well: the ordinal model is fitted without
+each fold, and the cut has the fewest errors among the probabilities of the rows left out.
+Features are screened by their smoothed log-odds on the sample, which does not grow with it, and
+selected by the lasso penalty; the fitted weights are few and travel to the tasks with the function.
 
 Edge cases: null text is empty and scores by the thresholds alone; null labels and labels
-of unknown documents are left out; with no label 1 or no label 0 nothing is rejected;
-repeated rows are scored each; an empty table gives no row.
+of unknown documents are left out; several labels of one document count as the largest; with no
+label 1 or no label 0 nothing is rejected; a text of any length is read whole; texts with equal
+features score alike, and a text at the cut is rejected; repeated rows are scored each; columns
+named severity, toxicity or rejected are replaced, all others kept; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -91,13 +100,13 @@ class Ordinal:
         return sum(p), p[0]
 
 
-def grade(hits: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
-    """Grades of texts labelled 0 or 1: label 1 is split by how many marking features it has."""
+def grade(margin: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """Grades of texts labelled 0 or 1: label 1 is split evenly by margin."""
     out = np.zeros(len(toxic), np.int64)
     at = np.flatnonzero(toxic)
     if len(at):
-        cuts = np.quantile(hits[at], np.linspace(0, 1, grades + 1)[1:-1])
-        out[at] = 1 + np.searchsorted(cuts, hits[at], side="left")
+        cuts = np.quantile(margin[at], np.linspace(0, 1, grades + 1)[1:-1])
+        out[at] = 1 + np.searchsorted(cuts, margin[at], side="left")
     return out
 
 
@@ -152,22 +161,50 @@ def screen(seen: dict[str, tuple[int, int]], n: int, n_toxic: int, least: int =
     return [f for _, f in sorted(scores)[:most]]
 
 
-def train(sets: list[set[str]], toxic: np.ndarray, chosen: list[str], grades: int = 3, penalty: float = 0.0002) -> Ordinal:
+def _part(columns: np.ndarray, pointer: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some rows, packed as those of all."""
+    sizes = np.diff(pointer)[rows]
+    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(pointer[rows], sizes)
+    return columns[at], np.concatenate([[0], np.cumsum(sizes)])
+
+
+def left_out(columns, pointer, y, fold, width: int, penalty: float, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """(margin, probability of grade 1 or more) of each row under the model fitted without its fold."""
+    margin, p = np.zeros(len(y)), np.zeros(len(y))
+    owner = np.repeat(np.arange(len(y)), np.diff(pointer))
+    for f in np.unique(fold):
+        seen = np.flatnonzero(fold != f)
+        own = y[seen]
+        w, t = fit_ordinal(*_part(columns, pointer, seen), own, width, max(int(own.max()), 1), penalty, steps)
+        mine = fold == f
+        margin[mine] = np.bincount(owner, w[columns], minlength=len(y))[mine]
+        p[mine] = 1 / (1 + np.exp(np.clip(t[0] - margin[mine], -500, 500)))
+    return margin, p
+
+
+def train(sets: list[set[str]], labels: np.ndarray, chosen: list[str], grades: int = 3, penalty: float = 0.0002, folds: int = 4) -> Ordinal:
     """Fit on feature sets of labelled texts, restricted to ``chosen``."""
+    toxic = (labels > 0).astype(np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return Ordinal({}, [40.0 + k for k in range(grades)])
     vocabulary = {f: k for k, f in enumerate(chosen)}
     ids = [sorted(vocabulary[f] for f in features if f in vocabulary) for features in sets]
     pointer = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
     columns = np.concatenate([np.array(i, np.int64) for i in ids]) if pointer[-1] else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(ids)), np.diff(pointer))
-    seen = np.bincount(columns, minlength=len(chosen))
-    bad = np.bincount(columns, toxic[rows], minlength=len(chosen))
-    marking = log_odds(len(toxic), int(toxic.sum()), seen, bad) > MARKING
-    hits = np.bincount(rows, marking[columns], minlength=len(ids))
-    w, t = fit_ordinal(columns, pointer, grade(hits, toxic, grades), len(chosen), grades, penalty)
+    fold = np.zeros(len(toxic), np.int64)
+    for label in (0, 1):  # both labels are dealt evenly
+        fold[toxic == label] = np.arange(int((toxic == label).sum())) % folds
+    apart = min(toxic.sum(), (1 - toxic).sum()) >= folds  # else no row can be left out
+    y = labels.astype(np.int64)
+    if y.max() > 1:
+        grades = int(y.max())
+    else:
+        margin = left_out(columns, pointer, toxic, fold, len(chosen), penalty)[0] if apart else np.zeros(len(toxic))
+        y = grade(margin, toxic, grades)
+    w, t = fit_ordinal(columns, pointer, y, len(chosen), grades, penalty)
     model = Ordinal({f: float(w[k]) for f, k in vocabulary.items() if w[k]}, [float(x) for x in t])
-    model.cut = best_cut(np.array([model.severity(x)[1] for x in sets]), toxic)
+    if apart:
+        model.cut = best_cut(left_out(columns, pointer, y, fold, len(chosen), penalty)[1], toxic)
     return model
 
 
@@ -216,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.string())), batch.column(2)], ["doc_id", "features", "label"])
 
     table = sample.mapInArrow(read_sets, "doc_id long, features array<string>, label double").toPandas().sort_values("doc_id")
-    return train([set(x) for x in table["features"]], (table["label"].to_numpy() > 0).astype(np.int64), chosen, **options)
+    return train([set(x) for x in table["features"]], table["label"].to_numpy(), chosen, **options)
 
 
 def score(docs: DataFrame, model: Ordinal, threshold: float | None = None) -> DataFrame:

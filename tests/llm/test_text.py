@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, decontamination, html_text, quality, toxicity, url_filters
+from tessella.llm import chat_format, decontamination, html_text, quality, queries, toxicity, url_filters
 
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[OUT]", "[ROLE]", "[TURN]", "[/ROLE]", "\\", "\\[INST]", "<", "[", "\n", "é😀", " "]
 
@@ -278,6 +278,96 @@ def test_toxicity_in_every_language(spark, tables, sf):
             assert sum(x == bool(toxic) for x in judged) >= 0.9 * len(judged), (lang, toxic)
 
 
+def test_toxicity_grades_and_cut():
+    """Deduced grades follow what other rows teach, graded labels are taken as they are, and the cut
+    separates rows that were left out."""
+    r = random.Random(8)
+    marks = ["vile", "rotten", "scorn", "filth"]
+    sets, labels = [], []
+    for k in range(400):
+        n = 0 if k % 4 else 1 + k // 4 % 4
+        sets.append({f"w{r.randrange(50)}" for _ in range(8)} | set(marks[:n]))
+        labels.append(int(n > 0))
+    y, chosen = np.array(labels, float), [*marks, "w1", "w2"]
+    model = toxicity.train(sets, y, chosen)
+    assert len(model.thresholds) == 3 and model.thresholds == sorted(model.thresholds)
+    low, high = model.severity({"vile"}), model.severity(set(marks))
+    assert low[0] < high[0] <= 3 and low[1] >= model.cut > model.severity(set())[1]
+    graded = np.array([4.0 if "filth" in x else 2.0 if "rotten" in x else 1.0 if "vile" in x else 0.0 for x in sets])
+    four = toxicity.train(sets, graded, chosen)
+    assert len(four.thresholds) == 4 and four.severity(set(marks))[0] > 3 > four.severity({"vile", "rotten"})[0] > 1.2
+    few = toxicity.train(sets[:6], y[:6], chosen)  # too few to leave rows out
+    assert few.cut == 0.5
+
+
+@pytest.mark.parametrize("sf, least, most", [("sf0.01", 0.6, 0.04), ("sf0.1", 0.85, 0.015)])
+def test_toxicity_held_out(spark, tables, sf, least, most):
+    """A third of the labelled rows is left out of fitting: share caught, share of clean ones rejected."""
+    folder = f"{Path(tables).parent}/{sf}"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    model = toxicity.fit(docs, labels.filter(~held))
+    rows = toxicity.score(docs.join(labels.filter(held), "doc_id"), model).groupBy("toxic").agg(F.avg(F.col("rejected").cast("double")).alias("share")).collect()
+    share = {x["toxic"]: x["share"] for x in rows}
+    assert share[1] >= least and share[0] <= most
+
+
+def test_toxicity_query_against_plain_version(spark, tables):
+    docs, labels = (spark.read.parquet(f"{tables}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {x["doc_id"]: x for x in queries.op2_toxicity(spark, tables).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and model.weights
+    for row in rows:
+        words = set(re.findall(r"\w+", row["text"].lower()))
+        names = words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
+        margin = sum(w for f, w in model.weights.items() if f in names)
+        p = [1 / (1 + np.exp(t - margin)) for t in model.thresholds]
+        x = got[row["doc_id"]]
+        assert abs(x["severity"] - sum(p)) < 2e-6 and abs(x["toxicity"] - p[0]) < 2e-6 and x["toxic"] == (p[0] >= model.cut)
+
+
+def plain_statistics(text):
+    """What ``quality.statistics_of`` counts, one thing at a time."""
+    if not text:
+        return dict.fromkeys(quality.STATISTICS, 0.0)
+    data, words, lines = text.encode(), text.split(), [x for x in text.split("\n") if x]
+    of = lambda chars: sum(data.count(c) for c in chars) / len(data)
+    w, k = max(len(words), 1), max(len(lines), 1)
+    return {
+        "n_bytes": np.log(1 + len(data)), "n_words": np.log(1 + len(words)), "n_lines": np.log(1 + len(lines)), "mean_word": len(text) / w,
+        "upper": of(range(ord("A"), ord("Z") + 1)), "digits": of(range(ord("0"), ord("9") + 1)), "symbols": of(b"#$%&*@^~=+_<>{}[]\\/"), "pipes": of(b"|"),
+        "marks": of(b"!?"), "stops": of(b".,;:"), "blanks": of(b" \t\r\n"), "non_ascii": sum(b > 127 for b in data) / len(data),
+        "distinct_words": len(set(words)) / w, "top_word": max((words.count(x) for x in set(words)), default=0) / w, "distinct_lines": len(set(lines)) / k,
+        "top_line": max((lines.count(x) for x in set(lines)), default=0) / k, "repeat_next": sum(a == b for a, b in zip(words, words[1:])) / w,
+        "end_marks": sum(x.endswith((".", "!", "?")) for x in lines) / k,
+    }
+
+
+def test_quality_query_against_plain_version(spark, tables):
+    docs, labels = (spark.read.parquet(f"{tables}/{name}.parquet") for name in ("documents", "labels"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    model = quality.fit(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), "quality")
+    got = {x["doc_id"]: x for x in queries.op1_quality(spark, tables).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and model.rules
+    for row in rows:
+        s = plain_statistics(row["text"])
+        x = [s[name] for name in quality.STATISTICS]
+        margin = model.intercept + sum(a for rule, a in model.rules if all((x[k] > cut) == above for k, above, cut in rule))
+        margin += sum(a * (min(max(x[k], low), high) - low) for k, low, high, a in model.linear)
+        mine = got[row["doc_id"]]
+        assert abs(mine["score"] - 1 / (1 + np.exp(-margin))) < 1e-9 and mine["held_out"] == held(row["doc_id"]) and mine["predicted"] == (mine["score"] >= 0.3)
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, "a b", 1), (1, "a b", 1), (None, "c", 2)], "doc_id long, text string, n_words int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert quality.score(docs, model).count() == 3 and quality.score(docs.limit(0), model).count() == 0
+    assert quality.fit(docs.limit(0), labels).predict(np.zeros((1, len(quality.STATISTICS)))) == [0.5]
+
+
 def test_crc_is_the_registered_split(spark):
     got = spark.range(50).select("id", (F.crc32(F.col("id").cast("string")) % 5).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
