@@ -1,7 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by factors along matched windows, in the manner of relative Lempel-Ziv.
 
 The corpus is its own reference, in blocks: each map task's documents.  A document may
-copy from any document with a smaller id.
+copy from any document with a smaller id.  Of a relative Lempel-Ziv parse it has the index of
+reference blocks, the greedy pass and the check at factor boundaries; it does not seek the longest
+match, as a window's source is its smallest document, not the one that goes on longest.  The words
+removed are the same: those of all windows that have a source.
 
 1. Index.  Each window of ``window`` words has an anchor, the least hash of its runs of
    RUN words, so equal windows share an anchor in whatever documents they stand.  Anchors
