@@ -39,6 +39,22 @@ def test_media(docs, no_docs, tmp_path):
     assert media.media_columns(no_docs, f"file://{tmp_path}/none").count() == 0
 
 
+def test_clashing_columns_and_very_long_texts(spark, tmp_path):
+    """Names that the operators use themselves, a text of half a million words, ties and repeats."""
+    long = " ".join(f"w{k % 5000}" for k in range(500_000))
+    names = "digest shard length offset start rank doc_tokens sequence_id n_bytes feature".split()
+    df = spark.createDataFrame([(1, long), (2, "same"), (3, "same"), (3, "same"), (4, "")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in names})
+    media_rows = media.media_columns(df, f"file://{tmp_path}/shards").collect()
+    assert sorted((r["doc_id"], r["n_bytes"]) for r in media_rows) == [(1, len(long)), (2, 4), (3, 4), (3, 4), (4, 0)]
+    assert len({(r["digest"], r["feature"], r["media_sha256"]) for r in media_rows if r["doc_id"] in (2, 3)}) == 1
+    pieces = packing.pack(df).collect()
+    mine = sorted((r["start"], r["length"]) for r in pieces if r["doc_id"] == 1)
+    assert sum(n for _, n in mine) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == 1) > 500_000
+    assert [a for a, _ in mine] == [0, *np.cumsum([n for _, n in mine])[:-1]] and all(n == 1024 for _, n in mine[:-1])
+    assert sorted(r["doc_id"] for r in pieces if r["doc_id"] > 1) == [2, 3, 3, 4]
+    assert len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+
+
 def test_encoder_equals_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer

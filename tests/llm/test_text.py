@@ -255,11 +255,13 @@ def test_toxicity(spark):
             for _ in range(r.randint(2, 6)):
                 w[r.randrange(len(w))] = r.choice(["vilest", "vilely.", "Rotten", "scorn"])
         rows.append((k, " ".join(w), None))
-    docs = spark.createDataFrame([*rows, (900, None, 1), (901, "", 1)], "doc_id long, text string, severity int")
+    long = " ".join(f"word{k % 300}" for k in range(100_000))
+    more = [(900, None, 1), (901, "", 1), (902, long, 1), (903, f"{long} vilest rotten scorn", 1), (904, "vilest rotten", 1), (904, "vilest rotten", 1)]
+    docs = spark.createDataFrame([*rows, *more], "doc_id long, text string, severity int")
     labels = spark.createDataFrame([(k, int(b)) for k, b in bad.items() if k % 3] + [(7000, 1), (901, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     out = {x["doc_id"]: x for x in toxicity.score(docs, model).collect()}
-    assert len(out) == 302 and not out[900]["rejected"] and not out[901]["rejected"]
+    assert toxicity.score(docs, model).count() == 306 and [out[k]["rejected"] for k in range(900, 905)] == [False, False, False, True, True]
     assert all(out[k]["rejected"] == b for k, b in bad.items() if k % 3 == 0)
     assert model.thresholds == sorted(model.thresholds) and 0 <= out[1]["severity"] < out[0]["severity"] <= 3
     none = toxicity.fit(docs, labels.limit(0))
