@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessella.operators import count_vectorizer as cv
@@ -237,7 +235,7 @@ def first_fields(spark, d):
 
 def csv_round_trip(spark, d):
     """A table written as CSV and read again, in the folder that all executors share."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tessella'}/csv-{uuid.uuid4().hex}"
+    path = files.shared_path(spark, "csv")
     files.write_csv(_t(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
     return files.read_csv(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
 

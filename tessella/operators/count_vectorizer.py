@@ -23,6 +23,7 @@ from tessella.functions.patterns import DEFAULT_PATTERN, find_all, validate
 
 LOG = logging.getLogger(__name__)
 DEALT_BYTES = 64_000_000  # of input for a partition of texts
+NARROW_BYTES = 16_000_000  # of input a core, under which texts are dealt even for a plain scan
 SAMPLE_BYTES = 1_000_000  # of input from which the bounds of blocks are taken
 BLOCKS = 256  # at most; a block's tokens are ranked in one task, which may spill
 
@@ -111,8 +112,12 @@ def analyzed(
     return _grams(F.filter(words, lambda w: ~w.isin(stops)) if stops else words, ngram_range)
 
 
-def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", token_pattern: str = DEFAULT_PATTERN, **options) -> DataFrame:
+def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", token_pattern: str = DEFAULT_PATTERN, n_jobs: int | None = None, **options) -> DataFrame:
     """(id_col, token), one row per occurrence."""
+    return _tokens(spread(df, id_col, text_col, n_jobs), id_col, text_col, token_pattern, **options)
+
+
+def _tokens(df: DataFrame, id_col: str, text_col: str, token_pattern: str = DEFAULT_PATTERN, **options) -> DataFrame:
     java = validate(df.sparkSession, token_pattern)
     stops = stop_set(options.get("stop_words"))
     lowercase = options.get("lowercase", True)
@@ -141,9 +146,18 @@ def dealt(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_jobs:
     return rows.repartition(n_jobs or max(least, (_bytes(rows) or 0) // DEALT_BYTES), F.col(f"`{id_col}`"))
 
 
+def spread(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_jobs: int | None = None) -> DataFrame:
+    """(id_col, text_col), dealt only if the input is narrow: a small file often is one row group, and
+    so one busy task.  A large input has splits for all cores and is read as it lies."""
+    rows = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
+    size = _bytes(rows)
+    narrow = size is not None and size < NARROW_BYTES * df.sparkSession.sparkContext.defaultParallelism
+    return dealt(df, id_col, text_col, n_jobs) if narrow or n_jobs else rows
+
+
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_jobs: int | None = None, **options) -> DataFrame:
     """(id_col, token, count)."""
-    tokens = tokenize(dealt(df, id_col, text_col, n_jobs), id_col, text_col, **options)
+    tokens = _tokens(dealt(df, id_col, text_col, n_jobs), id_col, text_col, **options)
     return tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).cast("int").alias("count"))
 
 
@@ -175,7 +189,7 @@ def token_bounds(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = _bytes(df.select(F.col(f"`{text_col}`"))) or SAMPLE_BYTES
     some = df.sample(SAMPLE_BYTES / size, seed=7) if size > SAMPLE_BYTES else df
     options.pop("n_jobs", None)
-    tokens = tokenize(some, id_col, text_col, **options).select("token").distinct()
+    tokens = _tokens(some, id_col, text_col, **options).select("token").distinct()
     return _bounds([r["token"] for r in tokens.orderBy(F.xxhash64("token")).limit(8 * BLOCKS).collect()])
 
 
@@ -211,7 +225,7 @@ def cv_fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_df
     """The vocabulary (token, idx)."""
     bounds = token_bounds(df, id_col, text_col, **options)
     if _unlimited(min_df, max_df, max_features):
-        return vocabulary_of(tokenize(dealt(df, id_col, text_col, n_jobs), id_col, text_col, **options), bounds)
+        return vocabulary_of(tokenize(df, id_col, text_col, n_jobs=n_jobs, **options), bounds)
     counts = token_counts(df, id_col, text_col, n_jobs, **options)
     return vocabulary_of(_limit(counts, df.count(), min_df, max_df, max_features), bounds, distinct=True)
 

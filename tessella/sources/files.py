@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``, which all executors share; only a local
+    master may leave that unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{folder or '/tmp/checkpoints/tessella'}/{name}-{uuid.uuid4().hex}"
+
+
 def first_field(lines: DataFrame, sep: str = ",") -> DataFrame:
     """(text,): the first field of each line of (value,)."""
     return lines.select(F.split_part("value", F.lit(sep), F.lit(1)).alias("text"))
