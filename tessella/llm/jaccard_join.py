@@ -12,11 +12,21 @@ most d = n - ceil(4n/5) of its n shingles in the other.
    list lengths are needed here, and only up to CAP.
 2. Choose.  A node with more than d shingles that no other node has links with nothing.
    Of the others, the d + 1 in the shortest lists are the short lists of T-occurrence
-   search: a linked pair shares one of them.  Their stars give groups of candidates.
-3. Search.  Each group is searched with DivideSkip: a node's long lists are set aside, its
-   short lists are merged and counted, and candidates that can still reach the overlap are
-   probed in the long lists by binary search.  Pairs whose ends are connected already are
-   skipped.  Groups above a size are cut into parts, and every pair of parts is searched.
+   search: a linked pair shares one of them.  Each list gives a star of candidate edges, from its
+   least node to the others.
+3. Settle copies.  A node stands with the centre that it shares most short lists with; the leaves
+   of a centre are cut into blocks of about STAR nodes, the centre in each, and every block is
+   searched.  This is linear in nodes, and a group of copies of any size mostly becomes one
+   component here.
+4. Search the rest.  Candidate edges whose ends are in one component need no more work.  The
+   others join components into open groups; a group's nodes are searched against each other.  A
+   group that is too large for one block is cut into classes of size and these into cells, where
+   large components have cells of their own; cells of one class or of neighbours make a block in
+   pairs, but not two cells of one component.  So a component of many copies costs one block a cell
+   for what stands beside it, and nothing for itself.
+5. A block is searched with DivideSkip: a node's long lists are set aside, its short lists are
+   merged and counted, and candidates that can still reach the overlap are probed in the long
+   lists by binary search.  Pairs whose ends are connected already are skipped.
 
 Every exchange combines entries of its task first: a shingle that a third of all nodes
 share costs at most CAP entries a task in step 1 and one in step 2.  Node ids are 63-bit
@@ -43,12 +53,12 @@ from tessella.llm.components import components
 from tessella.llm.words import mix, spans, word_hashes
 
 SMALL, LARGE, RATE, CAP = 500, 400, 0.35, 64
-PART_NODES, PART_SHINGLES = 2_000, 2_000_000
+STAR, PART_NODES, PART_SHINGLES = 128, 128, 500_000
 BLOCK = 1_000_000
 LIST = np.dtype([("key", "<u4"), ("node", "<u8"), ("full", "?")])
 SHARE = np.dtype([("node", "<u8"), ("key", "<u8"), ("size", "<u4")])  # size 0: key is n and s
 ENTRY = np.dtype([("key", "<u8"), ("node", "<u8")])
-EDGE = np.dtype([("a", "<i8"), ("b", "<i8")])
+EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("lists", "<i8")])
 FAMILY = np.uint64(3)  # the lowest bits of a node id, free for the family
 
 
@@ -228,13 +238,18 @@ def _stars(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     head, size = _runs(entries["key"])
     first = np.repeat(entries["node"][head], size)
     out = entries["node"] != first
-    edges = np.zeros(int(out.sum()), EDGE)
-    edges["a"], edges["b"] = first[out].view(np.int64), entries["node"][out].view(np.int64)
-    return np.unique(edges), entries[head]
+    a, b = first[out].view(np.int64), entries["node"][out].view(np.int64)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    one, lists = _runs(a, b)
+    edges = np.zeros(len(one), EDGE)
+    edges["a"], edges["b"], edges["lists"] = a[one], b[one], lists
+    return edges, entries[head]
 
 
 def candidate_edges(docs: DataFrame, width: int) -> DataFrame:
-    """(a, b): stars over the short lists; linked nodes are in one component of these."""
+    """(a, b, lists): stars over the short lists, from their least nodes, and how many lists give an
+    edge; linked nodes are in one component of these."""
     n = blobs.n_buckets(docs)
 
     def choose(parts, out, bucket):
@@ -257,9 +272,9 @@ def candidate_edges(docs: DataFrame, width: int) -> DataFrame:
     def unpack(batches):
         for batch in batches:
             edges = np.frombuffer(b"".join(batch.column(0).to_pylist()), EDGE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges["a"])), pa.array(np.ascontiguousarray(edges["b"]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[c])) for c in EDGE.names], list(EDGE.names))
 
-    return packed.select("data").mapInArrow(unpack, "a long, b long").distinct()
+    return packed.select("data").mapInArrow(unpack, "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
 
 
 class Links:
@@ -279,14 +294,21 @@ class Links:
         self.up[max(x, y)] = min(x, y)
 
 
-def divide_skip(pointer: np.ndarray, tokens: np.ndarray) -> Links:
-    """Links among sets ``tokens[pointer[i]:pointer[i + 1]]``, which are in ascending size.
+def divide_skip(pointer: np.ndarray, tokens: np.ndarray, labels: np.ndarray | None = None, sides: np.ndarray | None = None) -> Links:
+    """Links among sets ``tokens[pointer[i]:pointer[i + 1]]``, which are in ascending size.  Sets of
+    equal ``labels`` are known to be connected; with ``sides``, only sets of different sides are
+    looked up.
 
     Set x is looked up among smaller sets and equals before it.  Its T - 1 longest lists are
     set aside; the others are merged, which counts how often each candidate occurs in them;
     a candidate that can reach the overlap is probed in the long lists by binary search."""
     n = len(pointer) - 1
     links = Links(n)
+    if labels is not None:
+        order = np.argsort(labels, kind="stable")
+        for x, y in zip(order[:-1], order[1:]):
+            if labels[x] == labels[y]:
+                links.join(int(x), int(y))
     sizes = np.diff(pointer)
     names, ranks = np.unique(tokens, return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
@@ -304,6 +326,8 @@ def divide_skip(pointer: np.ndarray, tokens: np.ndarray) -> Links:
         at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin[short], counts)
         seen = postings[at] % n
         seen = seen[(seen < x) & (sizes[seen] >= least)]
+        if sides is not None:
+            seen = seen[sides[seen] != sides[x]]
         if not len(seen):
             continue
         seen = np.sort(seen, kind="stable")  # timsort: it finds the sorted lists as runs and merges them
@@ -325,11 +349,12 @@ def divide_skip(pointer: np.ndarray, tokens: np.ndarray) -> Links:
 
 
 def search(table: pa.Table, width: int) -> pa.Table:
-    """(a, b): each node of a block and the least node that it is linked with in the block."""
+    """(a, b): each node of a block (node, label, side, text) and the least node that it is connected
+    with in the block; a block of two sides is searched across them."""
     _, one = np.unique(table.column("node").to_numpy(), return_index=True)  # a repeated row is one node
     table = table.take(pa.array(one))
     text = table.column("text").combine_chunks()
-    node = table.column("node").to_numpy()
+    node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
     data, offsets = utf8(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
     rows, found = shingles(data, offsets, width)
     size = np.bincount(rows, minlength=len(node))
@@ -337,7 +362,7 @@ def search(table: pa.Table, width: int) -> pa.Table:
     begin = np.concatenate([[0], np.cumsum(size)])
     pointer = np.concatenate([[0], np.cumsum(size[order])])
     at = np.arange(int(pointer[-1])) - np.repeat(pointer[:-1], size[order]) + np.repeat(begin[:-1][order], size[order])
-    links = divide_skip(pointer, found[at])
+    links = divide_skip(pointer, found[at], label[order], side[order] if side.any() else None)
     node = node[order]
     root = np.array([links.root(i) for i in range(len(node))], np.int64)
     least = np.full(len(node), np.iinfo(np.int64).max)
@@ -346,30 +371,74 @@ def search(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"a": pa.array(least[root][out]), "b": pa.array(node[out])})
 
 
+def searched(blocks: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(a, b): links within the blocks of (block, node, label, side)."""
+    of = blocks.join(sets.select("node", "row"), "node").groupBy("row", "node").agg(F.collect_list(F.struct("block", "label", "side")).alias("blocks"))
+    texts = docs.select("row", "text").join(of.hint("shuffle_hash"), "row")  # a text moves once, then as often as it has blocks
+    rows = texts.select(F.explode("blocks").alias("at"), "node", "text").select("at.block", "at.label", "at.side", "node", "text")
+    return rows.groupBy("block").applyInArrow(lambda table: search(table, width), "a long, b long")
+
+
+def star_blocks(edges: DataFrame) -> DataFrame:
+    """(block, node, label, side): each node with the centre that it shares most lists with."""
+    best = edges.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a"))
+    parts = best.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    leaves = best.join(parts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("block"))
+    centres = leaves.select("block", F.col("a").alias("node")).distinct()
+    return leaves.select("block", F.col("b").alias("node")).unionByName(centres).withColumns({"label": F.col("node"), "side": F.lit(0)})
+
+
+def open_blocks(edges: DataFrame, settled: DataFrame, sets: DataFrame) -> DataFrame:
+    """(block, node, label, side): pairs of cells of the groups that candidate edges between components
+    leave open; ``settled`` has (vertex, root)."""
+    label = lambda c: settled.select(F.col("vertex").alias(c), F.col("root").alias(f"r{c}"))
+    ends = edges.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    between = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
+    groups = components(between).select(F.col("vertex").alias("label"), F.col("root").alias("group_id"))
+    named = sets.join(settled.withColumnRenamed("vertex", "node"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("label"))
+    members = materialize(named.join(groups, "label"), "members")
+    need = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / PART_NODES, F.sum("n") / PART_SHINGLES)).cast("int")
+    large = members.groupBy("group_id").agg(need().alias("whole")).filter("whole > 1").select("group_id")
+    # sets that link differ in size by a quarter at most, so they are in one class or in neighbours
+    sized = members.join(large.withColumn("large", F.lit(True)), "group_id", "left").withColumn(
+        "size", F.when(F.col("large"), F.floor(F.log("n") / F.log(F.lit(1.26)))).otherwise(0).cast("int")
+    )
+    # a component of many nodes has cells of its own: nothing in it is left to be found
+    many = sized.filter("large").groupBy("group_id", "size", "label").agg(need().alias("own")).filter("own > 1").drop("own")
+    owned = sized.join(many.withColumn("owner", F.col("label")), ["group_id", "size", "label"], "left")
+    owner = F.coalesce("owner", F.lit(-1))  # node ids are not negative
+    parts = owned.groupBy("group_id", "size", owner.alias("owner")).agg(need().alias("parts"))
+    cell = F.xxhash64("group_id", "size", "owner", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = materialize(
+        owned.withColumn("owner", owner).join(parts, ["group_id", "size", "owner"]).select("group_id", "size", "owner", cell.alias("cell"), "node", "label"), "cells"
+    )
+    cells = placed.groupBy("group_id", "size", "owner", "cell").agg(F.lit(1).alias("one")).drop("one")
+    other = cells.select("group_id", F.explode(F.array("size", F.col("size") - 1)).alias("size"), F.col("size").alias("their_size"), F.col("owner").alias("their_owner"), F.col("cell").alias("with"))
+    pairs = cells.join(other, ["group_id", "size"]).filter(
+        ((F.col("size") < F.col("their_size")) | (F.col("cell") <= F.col("with"))) & ((F.col("owner") < 0) | (F.col("owner") != F.col("their_owner")))
+    )
+    block = F.xxhash64("cell", "with").alias("block")
+    ends = F.when(F.col("cell") == F.col("with"), F.array(F.struct("cell", F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct("cell", F.lit(0).alias("side")), F.struct(F.col("with").alias("cell"), F.lit(1).alias("side")))
+    )
+    blocks = pairs.select(block, F.inline(ends))
+    return placed.select("cell", "node", "label").join(blocks, "cell").select("block", "node", "label", "side")
+
+
 def link_components(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id that links reach."""
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = materialize(nodes(docs, width), "nodes")
     # a node's text is that of one of its rows; its least id is null where no row has one
-    sets = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n"))
-    groups = components(candidate_edges(docs, width))
-    release(docs.sparkSession)
-    members = materialize(
-        groups.select(F.col("vertex").alias("node"), F.col("root").alias("group_id")).join(sets.select("node", "row", "n"), "node"), "members"
-    )
-    parts = members.groupBy("group_id").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / PART_NODES, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts")
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda other: F.xxhash64("group_id", F.least("own", other), F.greatest("own", other)),
+    sets = materialize(
+        found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n")), "sets"
     )
-    blocks = members.join(parts, "group_id").withColumn("own", own).select("row", "node", pairs.alias("blocks"))
-    texts = docs.select("row", "text").join(blocks.hint("shuffle_hash"), "row")
-    rows = texts.select(F.explode("blocks").alias("block"), "node", "text")
-    links = rows.groupBy("block").applyInArrow(lambda table: search(table, width), "a long, b long")
-    linked = components(links)
+    edges = materialize(candidate_edges(docs, width), "candidates")
+    release(docs.sparkSession)
+    settled = components(searched(star_blocks(edges), sets, docs, width))
+    release(docs.sparkSession)
+    more = searched(open_blocks(edges, settled, sets), sets, docs, width)
+    linked = components(settled.select(F.col("root").alias("a"), F.col("vertex").alias("b")).unionByName(more))
     label = sets.join(linked.withColumnRenamed("vertex", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     label = materialize(label, "node-labels")
     least = label.groupBy("root").agg(F.min("first").alias("component_id"))

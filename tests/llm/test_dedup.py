@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from brute import components, kept  # noqa: E402
@@ -103,16 +104,42 @@ def test_jaccard_null_ids_and_thin_samples(spark, monkeypatch):
         assert got == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("parts", [(2_000, 2_000_000), (7, 2_000_000)])
-def test_jaccard_random(spark, monkeypatch, parts):
-    monkeypatch.setattr(jaccard_join, "PART_NODES", parts[0])
-    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", parts[1])
+@pytest.mark.parametrize("star, part", [(128, 128), (3, 5)])
+def test_jaccard_random(spark, monkeypatch, star, part):
+    monkeypatch.setattr(jaccard_join, "STAR", star)
+    monkeypatch.setattr(jaccard_join, "PART_NODES", part)
     texts = random_texts(11, 150)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df).collect()}
     assert got == components(texts)
 
 
+def test_jaccard_settles_copies_before_it_searches(spark):
+    """A large group of near copies is one component after the stars, so nothing of it is searched
+    pair by pair; documents that share a passage but do not link stay open and apart."""
+    r = random.Random(9)
+    base, passage = words(91, 120), words(92, 30)
+    texts = {}
+    for i in range(400):
+        w = list(base)
+        w[r.randrange(120)] = f"x{r.randrange(60)}"
+        texts[i] = " ".join(w)
+    for i in range(400, 440):  # beside the passage, pairs of these share a little more
+        texts[i] = " ".join(passage + words(200 + i // 2, 14))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    docs = jaccard_join.keyed(df)
+    found = jaccard_join.nodes(docs)
+    sets = found.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n")).cache()
+    edges = jaccard_join.candidate_edges(docs, 5).cache()
+    blocks = jaccard_join.star_blocks(edges)
+    assert blocks.groupBy("block").count().agg(F.max("count")).first()[0] < 2 * jaccard_join.STAR
+    assert blocks.count() < 1.2 * sets.count()
+    settled = connected(jaccard_join.searched(blocks, sets, docs, 5))
+    left = jaccard_join.open_blocks(edges, settled, sets).join(sets, "node").agg(F.min("first")).first()[0]
+    assert left is None or left >= 400
+    assert {x["doc_id"]: x["component_id"] for x in jaccard_join.link_components(df).collect()} == {i: c for i, (_, c) in components(texts).items()}
+
+
 def test_divide_skip():
     r = random.Random(3)
     sets = [sorted({r.randrange(60) for _ in range(r.randint(1, 40))}) for _ in range(40)]
