@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import input_bytes, partitions
+from tessella.llm.common import input_bytes, partitions, thrifty
 
 BUCKET_BYTES = 16_000_000  # of compressed input
 SCHEMA = "bucket int, key long, data binary"
@@ -83,4 +83,4 @@ def reduce_buckets(rows: DataFrame, reduce: Callable[[list[bytes], Out, int], No
             yield from out.take()
         yield from out.take(last=True)
 
-    return rows.repartitionById(n, F.col("bucket")).mapInArrow(run, SCHEMA)
+    return rows.repartitionById(n, F.col("bucket")).mapInArrow(thrifty(run), SCHEMA)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import time
 import uuid
@@ -97,6 +99,28 @@ def input_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 55 else None
 
 
+def give_back() -> None:
+    """Return freed memory to the system.  Python workers serve one task after another, and what one
+    has freed but kept would count beside what the next one needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run):
+    """``run``, a function from batches to batches, that gives memory back when its task ends."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes as uint8, int64 offsets of length n + 1) of an Arrow string column."""
     wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import blobs
-from tessella.llm.common import materialize, release, rows_of_text, utf8
+from tessella.llm.common import materialize, release, rows_of_text, thrifty, utf8
 from tessella.llm.components import components
 from tessella.llm.words import mix, spans, word_hashes
 
@@ -117,7 +117,7 @@ def nodes(docs: DataFrame, width: int = 5) -> DataFrame:
                 done += len(keys)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64))], ["doc_id", "row", "n", "node"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n long, node long")
+    return docs.select("doc_id", "row", "text").mapInArrow(thrifty(run), "doc_id long, row long, n long, node long")
 
 
 def thin(n: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -208,7 +208,7 @@ def shared_lists(docs: DataFrame, width: int) -> DataFrame:
         shares["key"] = (np.uint64(bucket) << np.uint64(32)) | entries["key"][told].astype(np.uint64)
         _send_shares(out, shares, n_of)
 
-    return blobs.reduce_buckets(docs.select("row", "text").mapInArrow(index, blobs.SCHEMA), meet, n_of)
+    return blobs.reduce_buckets(docs.select("row", "text").mapInArrow(thrifty(index), blobs.SCHEMA), meet, n_of)
 
 
 def short_lists(shares: np.ndarray) -> np.ndarray:
@@ -274,7 +274,7 @@ def candidate_edges(docs: DataFrame, width: int) -> DataFrame:
             edges = np.frombuffer(b"".join(batch.column(0).to_pylist()), EDGE)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[c])) for c in EDGE.names], list(EDGE.names))
 
-    return packed.select("data").mapInArrow(unpack, "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
+    return packed.select("data").mapInArrow(thrifty(unpack), "a long, b long, lists long").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
 
 
 class Links:

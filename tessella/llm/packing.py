@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import materialize, thrifty
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -97,7 +97,7 @@ def tokenize(docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_50k")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], PIECE_NAMES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(thrifty(run), PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import blobs
-from tessella.llm.common import materialize, release, rows_of_text
+from tessella.llm.common import materialize, release, rows_of_text, thrifty
 from tessella.llm.words import mix, spans, word_hashes
 
 RUN = 7  # words of an anchor
@@ -159,7 +159,7 @@ def shared_anchors(rows: DataFrame, window: int) -> DataFrame:
         found = entries[np.repeat(size > 1, size) & ~entries["many"]]
         _send_keys(out, found["row"], found["key"], n)
 
-    return _by_row(blobs.reduce_buckets(rows.select("row", "text").mapInArrow(index, blobs.SCHEMA), meet, n), KEY, "keys", n)
+    return _by_row(blobs.reduce_buckets(rows.select("row", "text").mapInArrow(thrifty(index), blobs.SCHEMA), meet, n), KEY, "keys", n)
 
 
 def _send_windows(out: blobs.Out, entries: np.ndarray, anchors: np.ndarray, n: int) -> None:
@@ -237,7 +237,7 @@ def window_sources(rows: DataFrame, window: int) -> DataFrame:
         entries = entries[np.lexsort((entries["at"], entries["row"], entries["doc"], entries["g"], entries["h"]))]
         _send_sources(out, entries, _firsts(entries["h"], entries["g"]), n)
 
-    found = blobs.reduce_buckets(rows.select("doc_id", "row", "text", "keys").mapInArrow(match, blobs.SCHEMA), meet, n)
+    found = blobs.reduce_buckets(rows.select("doc_id", "row", "text", "keys").mapInArrow(thrifty(match), blobs.SCHEMA), meet, n)
     return _by_row(found, FOUND, "sources", n)
 
 
@@ -301,7 +301,7 @@ def changed(docs: DataFrame, window: int = 13) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in KEPT.split(", ")])
 
     joined = likely.select("doc_id", "row", "text").join(sources.hint("shuffle_hash"), "row").select("doc_id", "row", "text", "sources")
-    return joined.mapInArrow(run, KEPT).dropDuplicates(["row"])
+    return joined.mapInArrow(thrifty(run), KEPT).dropDuplicates(["row"])
 
 
 def untouched(docs: DataFrame) -> DataFrame:

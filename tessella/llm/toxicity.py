@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import thrifty
 from tessella.llm.quality import labelled_sample
 
 WORD = re.compile(r"\w+")
@@ -223,17 +224,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
     """Fit on at most ``most`` labelled rows and ``features`` screened features: feature counts
     are added up in the tasks, and only the chosen features of the sample reach the driver."""
     def count(batches):
-        read, seen = Reader(), {}
+        read, seen = Reader(most=50_000), {}
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([n for n, _ in seen.values()]), pa.array([b for _, b in seen.values()])], ["f", "n", "bad"])
+            seen.clear()
+            return out
+
         for batch in batches:
             for text, y in zip(batch.column(1), batch.column(2).to_pylist()):
                 for f in ("", *read(text.as_py() or "")):
                     n, bad = seen.get(f, (0, 0))
                     seen[f] = n + 1, bad + (y > 0)
+                if len(seen) > 200_000:
+                    yield rows()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([n for n, _ in seen.values()]), pa.array([b for _, b in seen.values()])], ["f", "n", "bad"])
+            yield rows()
 
     sample = labelled_sample(docs, labels, label, most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
-    counts = sample.mapInArrow(count, "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = sample.mapInArrow(thrifty(count), "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = counts.filter("f = ''").first()
     if whole is None:
         return train([], np.zeros(0), [])
@@ -252,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20
             sets = [sorted(read(x.as_py() or "")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.string())), batch.column(2)], ["doc_id", "features", "label"])
 
-    table = sample.mapInArrow(read_sets, "doc_id long, features array<string>, label double").toPandas().sort_values("doc_id")
+    table = sample.mapInArrow(thrifty(read_sets), "doc_id long, features array<string>, label double").toPandas().sort_values("doc_id")
     return train([set(x) for x in table["features"]], table["label"].to_numpy(), chosen, **options)
 
 
@@ -274,4 +283,4 @@ def score(docs: DataFrame, model: Ordinal, threshold: float | None = None) -> Da
             more = [pa.array([s for s, _ in found], pa.float64()), pa.array([p for _, p in found], pa.float64()), pa.array([p >= threshold for _, p in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
