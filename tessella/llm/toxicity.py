@@ -279,8 +279,10 @@ def score(docs: DataFrame, model: Ordinal, threshold: float | None = None) -> Da
     def run(batches):
         read = Reader(frozenset(model.weights))
         for batch in batches:
-            found = [model.severity(read(x.as_py() or "")) for x in batch.column(at)]
-            more = [pa.array([s for s, _ in found], pa.float64()), pa.array([p for _, p in found], pa.float64()), pa.array([p >= threshold for _, p in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
+            for lo in range(0, batch.num_rows, 1000):  # whole rows go back: in small batches they take little room at once
+                part = batch.slice(lo, 1000)
+                found = [model.severity(read(x.as_py() or "")) for x in part.column(at)]
+                more = [pa.array([s for s, _ in found], pa.float64()), pa.array([p for _, p in found], pa.float64()), pa.array([p >= threshold for _, p in found], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *added])
 
     return rows.mapInArrow(thrifty(run), schema)
