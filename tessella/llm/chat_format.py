@@ -51,19 +51,24 @@ def parse(formatted: Column) -> Column:
     marks = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
     between = F.split(formatted, CONTROL)  # between[i] stands before marks[i]
     none = lambda n: F.array(*(F.lit("") for _ in range(n)))
-    # what a turn needs is laid side by side: a lambda that reaches into an array would make it anew each time
-    around = F.arrays_zip(marks, between, F.concat(none(1), marks), F.concat(none(2), marks), F.concat(none(1), between))
 
     def turn(x: Column) -> Column:
-        mark, before, before_that = x["0"], x["2"], x["3"]
-        text = unescape(x["1"])
+        mark, before, before_that = x["marks"], x["2"], x["3"]
+        text = unescape(x["between"])
         other = (mark == "[/ROLE]") & (before == "[TURN]") & (before_that == "[ROLE]")
         found = F.when(other, F.struct(unescape(x["4"]).alias("role"), text.alias("text")))
         for name, (begin, end) in MARKS.items():
             found = found.when((mark == end) & (before == begin), F.struct(F.lit(name).alias("role"), text.alias("text")))
         return found
 
-    return F.filter(F.transform(around, turn), lambda t: t.isNotNull())
+    def turns(split: Column) -> Column:
+        m, b = split["marks"], split["between"]
+        # what a turn needs is laid side by side: a lambda that reaches into an array expression would make it anew each time
+        around = F.arrays_zip(m, b, F.concat(none(1), m), F.concat(none(2), m), F.concat(none(1), b))
+        return F.filter(F.transform(around, turn), lambda t: t.isNotNull())
+
+    # the variable of a lambda is a value: the string is split once
+    return F.flatten(F.transform(F.array(F.struct(marks.alias("marks"), between.alias("between"))), turns))
 
 
 def _rendered(turns: Column, escaped: Column) -> Column:
