@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessella.functions.patterns import DEFAULT_PATTERN, find_all, validate
 
 LOG = logging.getLogger(__name__)
-DEALT_BYTES = 64_000_000  # of input for a partition of texts
+DEALT_BYTES = 8_000_000  # of input for a partition of texts
 NARROW_BYTES = 16_000_000  # of input a core, under which texts are dealt even for a plain scan
 SAMPLE_BYTES = 1_000_000  # of input from which the bounds of blocks are taken
 BLOCKS = 256  # at most; a block's tokens are ranked in one task, which may spill
@@ -137,13 +137,18 @@ def _bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 55 else None
 
 
+def _parts(rows: DataFrame) -> int:
+    """How many partitions texts are dealt into."""
+    spark = rows.sparkSession
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, (_bytes(rows) or 0) // DEALT_BYTES)
+
+
 def dealt(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_jobs: int | None = None) -> DataFrame:
     """(id_col, text_col) dealt over the cluster by id: texts move once, whatever the file's row
     groups are, and all that is grouped by document later stays where it is."""
-    spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
-    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.repartition(n_jobs or max(least, (_bytes(rows) or 0) // DEALT_BYTES), F.col(f"`{id_col}`"))
+    return rows.repartition(n_jobs or _parts(rows), F.col(f"`{id_col}`"))
 
 
 def spread(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_jobs: int | None = None) -> DataFrame:
@@ -199,10 +204,18 @@ def vocabulary_of(tokens: DataFrame, bounds: list[str], distinct: bool = False)
     A token's id is the number of tokens in earlier blocks plus its rank in its own: only the
     blocks' counts, not the vocabulary, pass through one task."""
     one = tokens.select("token") if distinct else tokens.select("token").distinct()
-    one = one.withColumn("_b", _block(F.col("token"), bounds))
+    ranked, firsts = _ranked(one.withColumn("_b", _block(F.col("token"), bounds)))
+    return ranked.join(firsts, ranked["_b"] == firsts["_block"]).select("token", _id())
+
+
+def _ranked(one: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct tokens with their rank ``_r`` in their block ``_b``, and the first id of each block."""
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("token")) - 1
-    ranked, firsts = one.withColumn("_r", rank), _firsts(one, F.count(F.lit(1)))
-    return ranked.join(firsts, ranked["_b"] == firsts["_block"]).select("token", (F.col("_first") + F.col("_r")).cast("int").alias("idx"))
+    return one.withColumn("_r", rank), _firsts(one, F.count(F.lit(1)))
+
+
+def _id() -> Column:
+    return (F.col("_first") + F.col("_r")).cast("int").alias("idx")
 
 
 def _unlimited(min_df, max_df, max_features) -> bool:
@@ -242,14 +255,44 @@ def cv_transform(df: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", b
     return _with_ids(token_counts(df, id_col, **options), vocabulary, id_col, binary)
 
 
+def _shard(id_col: str, n: int) -> Column:
+    """The shard of a document, of ``n``; never null."""
+    return F.coalesce(F.pmod(F.hash(F.col(f"`{id_col}`")), F.lit(n)), F.lit(0)).alias("_p")
+
+
+def _cells(df: DataFrame, bounds: list[str], n: int, id_col: str, text_col: str, token_pattern: str = DEFAULT_PATTERN, n_jobs: int | None = None, **options) -> DataFrame:
+    """(id_col, _p, idx, count), lying in ``n`` shards ``_p`` of documents.
+
+    Texts are tokenised once, on their way into the shards.  Of a shard only its distinct tokens travel, to be ranked and
+    back: a token is at most as many rows as there are shards, however many documents hold it.  Then occurrences meet the
+    ids of their own shard without an exchange and are counted by number.  Joins of single words hash the distinct ones of a
+    shard, or of its share of the blocks, and sort nothing; grams, and texts of unknown size, are left to joins that spill."""
+    few = _bytes(df) is not None and options.get("ngram_range", (1, 1)) == (1, 1) and options.get("analyzer", "word") == "word"
+    hashed = lambda x: x.hint("shuffle_hash") if few else x
+    words = analyzed(F.col(f"`{text_col}`"), validate(df.sparkSession, token_pattern), **options)
+    rows = spread(df, id_col, text_col, n_jobs).select(F.col(f"`{id_col}`").alias(id_col), _shard(id_col, n), words.alias("_w"))
+    # an outer explode: for a plain one the optimizer adds a filter on sizes, which tokenises all texts once more
+    tokens = rows.repartitionById(n, F.col("_p")).select(id_col, "_p", F.explode_outer("_w").alias("token")).filter("token is not null")
+    # these filters change nothing: asking for all columns makes the readings of an exchange equal, so it is made once
+    one = tokens.groupBy("_p", "token").agg(F.count(F.col(f"`{id_col}`")).alias("_s")).filter("_s >= 0").select("_p", "token")
+    one = one.withColumn("_b", _block(F.col("token"), bounds)).repartitionById(n, F.col("_b"))
+    each = one.groupBy("_b", "token").agg(F.min("_p").alias("_s")).filter("_s >= 0").select("_b", "token")
+    ranked, firsts = _ranked(each)
+    ranked = one.join(hashed(ranked.select(F.col("_b").alias("_c"), F.col("token").alias("_t"), "_r")), (F.col("_b") == F.col("_c")) & (F.col("token") == F.col("_t")))
+    known = ranked.join(firsts, ranked["_b"] == firsts["_block"]).select(F.col("_p").alias("_q"), "_t", _id())
+    found = tokens.join(hashed(known.repartitionById(n, F.col("_q"))), (F.col("_p") == F.col("_q")) & (F.col("token") == F.col("_t")))
+    return found.groupBy(id_col, "_p", "idx").agg(F.count(F.lit(1)).cast("int").alias("count"))
+
+
 def cv_fit_transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", binary: bool = False, min_df=1, max_df=1.0, max_features=None, **options) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, triplets) from one count of tokens per document."""
+    """(vocabulary, triplets)."""
     bounds = token_bounds(df, id_col, text_col, **options)
-    counts = token_counts(df, id_col, text_col, **options)
     if _unlimited(min_df, max_df, max_features):
-        vocabulary = vocabulary_of(counts, bounds)
-    else:
-        vocabulary = vocabulary_of(_limit(counts, df.count(), min_df, max_df, max_features), bounds, distinct=True)
+        triplets = _cells(df, bounds, options.get("n_jobs") or _parts(df), id_col, text_col, **options).select(id_col, "idx", "count")
+        triplets = triplets.withColumn("count", F.lit(1).cast("int")) if binary else triplets
+        return vocabulary_of(tokenize(df, id_col, text_col, **options), bounds), triplets
+    counts = token_counts(df, id_col, text_col, **options)
+    vocabulary = vocabulary_of(_limit(counts, df.count(), min_df, max_df, max_features), bounds, distinct=True)
     return vocabulary, _with_ids(counts, vocabulary, id_col, binary)
 
 

@@ -138,6 +138,25 @@ def test_counting_moves_texts_once(spark, tables):
     assert "exchange" not in cv.row_sizes(rows)._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def made(df):
+    """The plan that ran, without initial plans of stages."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_fit_transform_matches_texts_once(spark, tables):
+    """No row of (document, token) is exchanged or sorted, and no text is matched twice."""
+    plan = made(cv.cv_fit_transform(spark.read.parquet(f"{tables}/documents.parquet"))[1])
+    assert plan.count("regexp_extract_all") == 1 and "SortMergeJoin" not in plan and "hashpartitioning(token" not in plan
+
+
+def test_fit_transform_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "bb aa"), (1, "aa"), (None, "cc aa"), (2, None)], "doc_id long, text string")
+    v, t = cv.cv_fit_transform(df)
+    assert vocabulary(v) == ["aa", "bb", "cc"] and cells(t) == {1: {0: 2, 1: 1}, None: {0: 1, 2: 1}} == cells(cv.cv_transform(df, v))
+    assert cells(cv.cv_fit_transform(df, ngram_range=(1, 2), n_jobs=3)[1]) == {1: {0: 2, 1: 1, 2: 1}, None: {0: 1, 3: 1, 4: 1}}
+
+
 def test_difference(spark):
     a, b = docs(spark, ["one two"]), docs(spark, ["two three"])
     assert {(r[0], r[1]) for r in harness.vocabulary_difference(cv.cv_fit(a), cv.cv_fit(b)).collect()} == {("one", "left"), ("three", "right")}
