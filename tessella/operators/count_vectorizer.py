@@ -298,8 +298,11 @@ def cv_fit_transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def csr_rows(df: DataFrame, triplets: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, indices, data): one compressed row per document of ``df``, empty ones too."""
-    cells = triplets.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "count"))).alias("cells"))
-    rows = df.select(F.col(f"`{id_col}`").alias(id_col)).join(cells, id_col, "left")
+    cells = triplets.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "count"))).alias("cells")).withColumnRenamed(id_col, "_k")
+    rows = df.select(F.col(f"`{id_col}`").alias(id_col))
+    # null-safe, then null ids left without cells: a filter on ids would part the readings of the texts, which are shared
+    rows = rows.join(cells, F.col(f"`{id_col}`").eqNullSafe(F.col("_k")), "left")
+    rows = rows.withColumn("cells", F.when(F.col(f"`{id_col}`").isNotNull(), F.col("cells")))
     none = F.array().cast("array<int>")
     return rows.select(
         id_col,

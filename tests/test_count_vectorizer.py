@@ -138,12 +138,30 @@ def test_counting_moves_texts_once(spark, tables):
     assert "exchange" not in cv.row_sizes(rows)._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def csr_of(df):
+    return cv.csr_rows(df, cv.cv_fit_transform(df)[1])
+
+
 def made(df):
     """The plan that ran, without initial plans of stages."""
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def test_csr_rows_read_and_cut_texts_once(spark, tables):
+    """The texts are scanned and matched once."""
+    plan = made(csr_of(spark.read.parquet(f"{tables}/documents.parquet")))
+    assert plan.count("struct<doc_id:bigint,text:string>") == 1 and plan.count("regexp_extract_all") == 1
+    assert "hashpartitioning(token" not in plan
+
+
+def test_csr_rows_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "b a a"), (1, "aa bb aa"), (None, "cc aa"), (2, None), (3, ""), (4, "aa " * 300 + "dd")], "doc_id long, text string")
+    rows = [(r["doc_id"], r["indices"], r["data"]) for r in csr_of(df).collect()]
+    two = (1, [0, 1], [2, 1])
+    assert sorted(rows, key=repr) == sorted([two, two, (None, [], []), (2, [], []), (3, [], []), (4, [0, 3], [300, 1])], key=repr)
+
+
 def test_fit_transform_matches_texts_once(spark, tables):
     """No row of (document, token) is exchanged or sorted, and no text is matched twice."""
     plan = made(cv.cv_fit_transform(spark.read.parquet(f"{tables}/documents.parquet"))[1])
